@@ -10,6 +10,7 @@ from .decontam import shared_spans
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .ppm import score_language
 from .quality import score_quality
 from .sharding import shard_assignment, sharding_sql
 
@@ -33,6 +34,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_assignment(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_exact_dedup, op2_near_dedup, op5_sharding, op8_decontamination, op9_quality, op10_packing]
+_QUERIES = [op1_exact_dedup, op2_near_dedup, op4_lm_score, op5_sharding, op8_decontamination, op9_quality, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,6 +141,13 @@ class HashTable:
             todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
         self.at = np.where(self.slots >= 0, keys[np.maximum(self.slots, 0)] if len(keys) else 0, 0).astype(np.uint64)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, slots: np.ndarray, at: np.ndarray) -> HashTable:
+        """The table with these arrays, taken from another."""
+        out = cls.__new__(cls)
+        out.keys, out.slots, out.at, out.bits = keys, slots, at, len(slots).bit_length() - 1
+        return out
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
