@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import shared_spans
 from .exact_dedup import exact_duplicates
+from .langid import identify
+from .langid import train as train_languages
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .ppm import score_language
 from .quality import score_quality
 from .sharding import shard_assignment, sharding_sql
+from .url_filter import block_labels, score_urls
+from .url_filter import train as train_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_assignment(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return score_urls(pages, train_urls(pages.select("url", block_labels(pages["url"]).alias("label"))))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train_languages(docs))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_exact_dedup, op2_near_dedup, op4_lm_score, op5_sharding, op8_decontamination, op9_quality, op10_packing]
+_QUERIES = [op1_exact_dedup, op2_near_dedup, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_decontamination, op9_quality, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
