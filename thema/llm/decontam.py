@@ -141,14 +141,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window:
     flag = _free(docs, "leak")
     out = docs
     for items, _ in _slices(benchmark, k, window, slice_bytes):
+        out = out.withColumn(flag, _leaks(items)("text")).where(~F.col(flag)).select(docs.columns)
+    return out
 
-        def leaks(text: pa.Array, items: Benchmark = items) -> pa.Array:
-            data, offsets = as_bytes(lower(text))
-            hit = np.zeros(len(text), bool)
-            for a, b in chunks(offsets):
-                got = items.spans(*word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), one=True)
-                hit[[a + x[0] for x in got]] = True
-            return pa.array(hit)
 
-        out = out.withColumn(flag, F.arrow_udf(leaks, "boolean")("text")).where(~F.col(flag)).select(docs.columns)
-    return out
+def _leaks(items: Benchmark):
+    """A column function: whether a text shares a span with any of the items."""
+
+    def leaks(text: pa.Array) -> pa.Array:
+        data, offsets = as_bytes(lower(text))
+        hit = np.zeros(len(text), bool)
+        for a, b in chunks(offsets):
+            got = items.spans(*word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), one=True)
+            hit[[a + x[0] for x in got]] = True
+        return pa.array(hit)
+
+    return F.arrow_udf(leaks, "boolean")
