@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir
+
 from .decontam import shared_spans
 from .exact_dedup import exact_duplicates
 from .langid import identify
@@ -17,6 +19,7 @@ from .quality import score_quality
 from .sharding import shard_assignment, sharding_sql
 from .url_filter import block_labels, score_urls
 from .url_filter import train as train_urls
+from .warc import pages_from_warc, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,13 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC files in the shared folder and read from there by byte ranges."""
+    path = shared_dir(spark)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    return pages_from_warc(read_warc(spark, path))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_exact_dedup, op2_near_dedup, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_decontamination, op9_quality, op10_packing]
+_QUERIES = [op1_exact_dedup, op2_near_dedup, op3_warc, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_decontamination, op9_quality, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -76,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_sharding": sharding_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc": "SELECT page_id, url, html FROM pages", "op5_sharding": sharding_sql()}
