@@ -8,7 +8,9 @@ most LEAF documents is compared exhaustively.
 
 The levels run on Spark while nodes are larger than a task handles (MEMORY documents); the subtree of
 a smaller node is searched within one task, where documents that are already known to be connected
-need no more comparisons. Connected components of the pairs found are the groups.
+need no more comparisons. A node that LEVELS levels didn't make small holds mostly similar documents;
+it is cut in blocks and all pairs of blocks are searched. Connected components of the pairs found are
+the groups.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MINHASHES = 256
 TREES = 8
 LEAF = 128
 MEMORY = 20_000
+#: Levels on Spark after which a node that is still larger is cut in blocks, and every pair of blocks searched.
+LEVELS = 3
 #: Depth of a subtree within a task from which nodes are compared exhaustively, whatever their size.
 DEEPEST = 12
 
@@ -237,6 +241,14 @@ def _branch(branches: int):
     return run
 
 
+def _block_pairs(rows: DataFrame, memory: int) -> DataFrame:
+    """(node, key) of nodes for all pairs of blocks of rows(node, key, n)."""
+    blocks = F.ceil(F.col("n") / memory)
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "node"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return own.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(u, v): for every end of an edge (u, v) but the least of its component that least one. Stars are
     joined to larger ones and to smaller ones in turn until nothing changes; every round is a written table."""
@@ -257,7 +269,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_pairs(docs: DataFrame, text: str = "text", k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY) -> DataFrame:
+def near_pairs(docs: DataFrame, text: str = "text", k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:
     """(u, v): pairs of texts' 64-bit hashes that connect near duplicates."""
     branches = max(1, round(1 / threshold))
     roots = trees * branches
@@ -268,16 +280,20 @@ def near_pairs(docs: DataFrame, text: str = "text", k: int = K, threshold: float
     rows = table.select(F.explode("nodes").alias("node"), "key")
     sigs = table.select("key", "sig")
     edges = None
-    while rows is not None:
-        large = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > memory).select("node"))
+    for level in range(levels + 1):
+        large = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > memory))
         some = not large.isEmpty()
         small = rows.join(large, "node", "left_anti") if some else rows
+        if some and level == levels:
+            small = small.unionAll(_block_pairs(rows.join(large, "node"), memory))
         nodes = small.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
         nodes = nodes.groupBy("keys").agg(F.min("node").alias("node"))  # trees often agree on a node's documents
         members = nodes.select("node", F.explode("keys").alias("key")).join(sigs, "key")
         found = members.repartition("node").sortWithinPartitions("node").select("node", "key", "sig").mapInArrow(_compare(threshold, leaf), "u long, v long")
         edges = found if edges is None else edges.unionAll(found)
-        rows = written(rows.join(large, "node", "left_semi").join(sigs, "key").select("node", "key", "sig").mapInArrow(_branch(branches), "node long, key long").distinct()) if some else None
+        if not some or level == levels:
+            break
+        rows = written(rows.join(large, "node", "left_semi").join(sigs, "key").select("node", "key", "sig").mapInArrow(_branch(branches), "node long, key long").distinct())
     return edges
 
 
