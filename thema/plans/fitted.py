@@ -1 +1,124 @@
-QUERIES = {}
+"""Queries that fit models; iterative, so without SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import ascii_words
+from ..operators import dictionary as D
+from ..operators import matrix as M
+from ..operators.phi_regularizers import DecorrelatorPhi, SmoothSparsePhi
+from ..operators.theta_regularizers import SmoothSparseTheta, TopicSegmentationPtdw
+from ..schema import DEFAULT_CLASS, DEFAULT_TRANSACTION
+from .corpus import bow, table
+from .hierarchy import Hierarchy
+from .lda import Lda
+from .model import TopicModel
+
+
+def _corpus(spark: SparkSession, d: str, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Documents as bags of words, and the dictionary of tokens in at least min_df documents."""
+    own = bow(table(spark, d, "documents"))
+    return own, D.filtered(D.gather(own), min_df=min_df)
+
+
+def _top(model: TopicModel, spark: SparkSession, k: int = 10) -> DataFrame:
+    return M.top_tokens(model.matrix(spark), k).withColumn("value", F.round("value", 6))
+
+
+def fit_offline(spark: SparkSession, d: str) -> DataFrame:
+    """Top tokens after five passes with sparse, decorrelated topics."""
+    ndw, dictionary = _corpus(spark, d)
+    model = TopicModel(8, dictionary, regularizers={"sparse": SmoothSparsePhi(-0.1), "decorrelator": DecorrelatorPhi(1e3), "theta": SmoothSparseTheta(-0.1)})
+    return _top(model.fit_offline(ndw, 5), spark)
+
+
+def fit_history(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity and sparsity by pass."""
+    ndw, dictionary = _corpus(spark, d)
+    model = TopicModel(8, dictionary, collection_unigram=True).fit_offline(ndw, 4)
+    rows = [(h["pass"], round(h["perplexity"], 3), round(h["sparsity_phi"][DEFAULT_CLASS], 6), round(h["sparsity_theta"], 6)) for h in model.history]
+    return spark.createDataFrame(rows, "pass int, perplexity double, sparsity_phi double, sparsity_theta double")
+
+
+def fit_online(spark: SparkSession, d: str) -> DataFrame:
+    """Top tokens after one online pass in four chunks."""
+    ndw, dictionary = _corpus(spark, d)
+    model = TopicModel(8, dictionary)
+    docs = model.encode(ndw)
+    chunks = [docs.where(F.pmod("item_id", F.lit(4)) == i) for i in range(4)]
+    return _top(model.fit_online(chunks, tau0=1.0, kappa=0.5), spark)
+
+
+def transform_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Theta of benchmark items under a model of the documents."""
+    ndw, dictionary = _corpus(spark, d)
+    model = TopicModel(8, dictionary).fit_offline(ndw, 3)
+    theta = model.transform(bow(table(spark, d, "benchmark"), "item_id"))
+    return theta.select("item_id", F.posexplode("theta").alias("topic", "value")).withColumn("value", F.round("value", 6))
+
+
+def lda(spark: SparkSession, d: str) -> DataFrame:
+    ndw, dictionary = _corpus(spark, d)
+    return _top(Lda(6, dictionary, alpha=0.1, beta=0.01).fit_offline(ndw, 3), spark)
+
+
+def multimodal(spark: SparkSession, d: str) -> DataFrame:
+    """Language and source as modalities of their own, next to the words."""
+    docs = table(spark, d, "documents")
+    tags = docs.select(F.col("doc_id").alias("item_id"), F.explode(F.array(F.struct(F.lit("@lang").alias("class_id"), F.col("lang").alias("token")), F.struct(F.lit("@source").alias("class_id"), F.col("source").alias("token")))).alias("x"))
+    ndw = bow(docs).unionByName(tags.select("item_id", "x.class_id", "x.token", F.lit(1.0).alias("weight")))
+    model = TopicModel(6, D.filtered(D.gather(ndw), class_id=DEFAULT_CLASS, min_df=10), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
+    return model.matrix(spark).where(F.col("class_id") == "@lang").withColumn("value", F.round("value", 6))
+
+
+def hierarchy_psi(spark: SparkSession, d: str) -> DataFrame:
+    """Subtopics given topics."""
+    ndw, dictionary = _corpus(spark, d)
+    h = Hierarchy()
+    h.add_level(TopicModel(3, dictionary))
+    h.add_level(TopicModel(6, dictionary, seed=1))
+    psi = h.fit_offline(ndw, 2).get_psi(1)
+    return spark.createDataFrame([(t, p, round(float(psi.loc[t, p]), 6)) for t in psi.index for p in psi.columns], "topic string, parent string, value double")
+
+
+def ptdw_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    """The main topic of every word of conversations, in segments."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), F.posexplode(ascii_words("text")).alias("pos", "token"))
+    ndw = turns.select("item_id", "pos", F.lit(DEFAULT_CLASS).alias("class_id"), "token", F.lit(1.0).alias("weight"))
+    model = TopicModel(5, D.filtered(D.gather(ndw), min_df=3)).fit_offline(ndw, 2)
+    model.regularizers["segments"] = TopicSegmentationPtdw(10, 0.2)
+    p = model.transform(ndw, "ptdw")
+    return p.select("item_id", "pos", (F.array_position("p", F.lit(1.0)) - 1).alias("topic"))
+
+
+def transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as transactions of part, flag and status: p(x|d) after three passes, in ten classes."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.struct(F.lit("@brand").alias("c"), F.pmod("l_partkey", F.lit(50)).cast("string").alias("t")), F.struct(F.lit("@flag").alias("c"), F.col("l_returnflag").alias("t")), F.struct(F.lit("@status").alias("c"), F.col("l_linestatus").alias("t"))).alias("x"))
+    own = lines.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("tx_id"), F.lit("line").alias("tt_name"), F.posexplode("x").alias("p", "x"))
+    ndw = own.select("item_id", (F.col("tx_id") * 3 + F.col("p")).alias("pos"), "tx_id", "tt_name", F.col("x.c").alias("class_id"), F.col("x.t").alias("token"), F.lit(1.0).alias("weight"))
+    model = TopicModel(4, D.gather(ndw), type_weights={"line": 1.0, DEFAULT_TRANSACTION: 1.0}, document_passes=5).fit_offline(ndw, 3)
+    p = model.transform(ndw, "ptx")
+    return p.groupBy(F.floor(F.round("p", 6) * 10).alias("decile")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_online(spark: SparkSession, d: str) -> DataFrame:
+    """Top tokens of events learnt from a stream of files: users as items, event types and hours as modalities."""
+    from ..storage import shared_dir
+    from ..streaming.online import learn
+
+    events = table(spark, d, "events")
+
+    def to_ndw(df: DataFrame) -> DataFrame:
+        x = F.array(F.struct(F.lit("@type").alias("c"), F.col("event_type").alias("t")), F.struct(F.lit("@hour").alias("c"), F.hour("ts").cast("string").alias("t")))
+        one = df.select(F.col("user_id").alias("item_id"), F.explode(x).alias("x"))
+        return one.groupBy("item_id", F.col("x.c").alias("class_id"), F.col("x.t").alias("token")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+    model = TopicModel(3, D.gather(to_ndw(events)))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
+    learn(stream, model, to_ndw, shared_dir(spark), tau0=1.0).trigger(availableNow=True).start().awaitTermination()
+    return _top(model, spark, 5)
+
+
+QUERIES = {f.__name__: f for f in (fit_offline, fit_history, fit_online, transform_benchmark, lda, multimodal, hierarchy_psi, ptdw_segmentation, transactions, stream_online)}
