@@ -8,6 +8,7 @@ from ..schema import DEFAULT_CLASS
 
 _START = 1125899906842597
 _MASK = (1 << 64) - 1
+_RNG = np.random.RandomState(0)  # seeded anew for each row, which is cheaper than a new one
 
 
 def token_hash(class_id: str, token: str, seed: int = -1) -> int:
@@ -25,7 +26,8 @@ def token_hash(class_id: str, token: str, seed: int = -1) -> int:
 
 def random_row(class_id: str, token: str, topics: int, seed: int = -1, zero_rate: float = 0.0) -> np.ndarray:
     """A row of topics numbers with sum 1. With zero_rate, each is zero with that probability."""
-    rng = np.random.RandomState(token_hash(class_id, token, seed) & 0xFFFFFFFF)
+    rng = _RNG
+    rng.seed(token_hash(class_id, token, seed) & 0xFFFFFFFF)
     top = np.float32(2**32 - 1)
     if zero_rate <= 1e-37:
         u = rng.randint(0, 2**32, topics, dtype=np.uint32).astype(np.float32) / top

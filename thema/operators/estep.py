@@ -9,12 +9,23 @@ from ..functions.columns import flushed
 from ..schema import TINY
 
 
+def _joined(ndw: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
+    """ndw with an array q of (topic, phi * theta) for tokens of the model. Phi's rows and Theta travel as arrays, so a token of a document
+    is one row through both joins, and its sum over topics needs no shuffle."""
+    p = phi.groupBy("class_id", "token").agg(F.collect_list(F.struct("topic", "value")).alias("p"))
+    t = theta.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "value"))).alias("t"))
+    q = F.transform("p", lambda x: F.struct(x["topic"].alias("topic"), (x["value"] * F.element_at("t", x["topic"])).alias("q")))
+    return ndw.join(p, ["class_id", "token"]).join(t, "item_id").withColumn("q", q).drop("p", "t")
+
+
+def _sum(q: str) -> F.Column:
+    return F.aggregate(q, F.lit(0.0), lambda s, x: s + F.coalesce(x["q"], F.lit(0.0)))
+
+
 def _responsibilities(ndw: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
     """ndw x topics with part = n * phi * theta / Z; terms with a tiny Z are left out."""
-    q = ndw.join(phi.withColumnRenamed("value", "phi"), ["class_id", "token"]).join(theta.withColumnRenamed("value", "theta"), ["item_id", "topic"])
-    q = q.withColumn("q", F.col("phi") * F.col("theta"))
-    z = F.sum("q").over(Window.partitionBy("item_id", "class_id", "token"))
-    return q.withColumn("z", z).where(F.abs("z") >= TINY).withColumn("part", F.col("weight") * F.col("q") / F.col("z"))
+    own = _joined(ndw, phi, theta).withColumn("z", _sum("q")).where(F.abs("z") >= TINY)
+    return own.withColumn("x", F.explode("q")).where("x.q IS NOT NULL").select("item_id", "class_id", "token", F.col("x.topic").alias("topic"), (F.col("weight") * F.col("x.q") / F.col("z")).alias("part"))
 
 
 def uniform_theta(items: DataFrame, topics: list) -> DataFrame:
@@ -38,5 +49,4 @@ def counters(ndw: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
 
 def likelihoods(ndw: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
     """(item_id, class_id, token, weight, p) for tokens of the model."""
-    q = ndw.join(phi.withColumnRenamed("value", "phi"), ["class_id", "token"]).join(theta.withColumnRenamed("value", "theta"), ["item_id", "topic"])
-    return q.groupBy("item_id", "class_id", "token", "weight").agg(F.sum(F.col("phi") * F.col("theta")).alias("p"))
+    return _joined(ndw, phi, theta).select("item_id", "class_id", "token", "weight", _sum("q").alias("p"))

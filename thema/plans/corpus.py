@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_words
 from ..schema import DEFAULT_CLASS
+from ..storage import spread
 
 TOPICS = 4
 
@@ -18,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tokens(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS) -> DataFrame:
     """(item_id, class_id, token), a row for each occurrence."""
     c = F.lit(class_id) if isinstance(class_id, str) else class_id
-    return docs.select(F.col(item_id).alias("item_id"), c.alias("class_id"), F.explode(ascii_words("text")).alias("token"))
+    own = spread(docs.select(F.col(item_id).alias("item_id"), c.alias("class_id"), "text"))
+    return own.select("item_id", "class_id", F.explode(ascii_words("text")).alias("token"))
 
 
 def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS) -> DataFrame:
@@ -28,7 +30,8 @@ def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS) -> Dat
 
 def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, tokens), an item for each turn."""
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), ascii_words("text").alias("tokens"))
+    own = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), "text"))
+    return own.select("item_id", ascii_words("text").alias("tokens"))
 
 
 def code(token: F.Column, topic: F.Column) -> F.Column:

@@ -11,6 +11,7 @@ from ..operators import matrix as M
 from ..operators.phi_regularizers import DecorrelatorPhi, SmoothSparsePhi
 from ..operators.theta_regularizers import SmoothSparseTheta, TopicSegmentationPtdw
 from ..schema import DEFAULT_CLASS, DEFAULT_TRANSACTION
+from ..storage import written
 from .corpus import bow, table
 from .hierarchy import Hierarchy
 from .lda import Lda
@@ -19,7 +20,7 @@ from .model import TopicModel
 
 def _corpus(spark: SparkSession, d: str, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
     """Documents as bags of words, and the dictionary of tokens in at least min_df documents."""
-    own = bow(table(spark, d, "documents"))
+    own = written(bow(table(spark, d, "documents")))
     return own, D.filtered(D.gather(own), min_df=min_df)
 
 

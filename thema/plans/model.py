@@ -87,7 +87,9 @@ def encode(ndw: DataFrame, vocab: DataFrame, class_weights: dict[str, float] | N
     tx = F.col("tx_id") if "tx_id" in have else F.lit(0)
     x = F.struct(pos.cast("int").alias("pos"), "idx", F.col("weight").cast("double").alias("w"), tx.cast("int").alias("tx"), "tx_weight")
     docs = joined.groupBy("item_id", "title").agg(F.array_sort(F.collect_list(x)).alias("x"), F.max((F.col("tt_name") != DEFAULT_TRANSACTION)).alias("typed"))
-    return written(docs.select("item_id", "title", F.col("x.idx").alias("idx"), F.col("x.w").alias("weight"), F.col("x.tx").alias("tx"), F.col("x.tx_weight").alias("tx_weight"), "typed"))
+    spark = ndw.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return written(docs.repartition(parts, "item_id").select("item_id", "title", F.col("x.idx").alias("idx"), F.col("x.w").alias("weight"), F.col("x.tx").alias("tx"), F.col("x.tx_weight").alias("tx_weight"), "typed"))
 
 
 @dataclass

@@ -57,3 +57,11 @@ def is_plain_scan(df: DataFrame) -> bool:
         if name not in ("Project", "Filter") or plan.children().size() != 1:
             return False
         plan = plan.children().apply(0)
+
+
+def spread(df: DataFrame, least_bytes: int = 16 << 20) -> DataFrame:
+    """df over all cores if it is small: a table of less than least_bytes for each core often lies in a few splits, or row groups, and
+    would be worked on by as many tasks only. Larger ones are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * least_bytes else df
