@@ -149,6 +149,25 @@ def transactions(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int,
     return Counters(*_by_row(batch.idx[known], part[known]), theta), np.where(ok, z, np.nan)
 
 
+def transaction_sums(batch: Batch, p: np.ndarray, theta: np.ndarray) -> dict[str, float]:
+    """As likelihood_sums for transactions with their p(x|d): one weighs as the sum of its tokens' weights; the type's weight
+    counts in the normalizer only. A tiny p is replaced by the transaction's share of its document; skipped ones are left out."""
+    doc = batch.doc_of
+    new = np.ones(len(doc), bool)
+    new[1:] = (batch.tx[1:] != batch.tx[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    n_x = np.add.reduceat(batch.weight, head) if len(head) else np.zeros(0)
+    share = n_x / np.maximum(segment_sums(batch.weight, batch.start)[doc[head]], 1e-300)
+    ok, zero = ~np.isnan(p), np.abs(p) < TINY
+    value = np.where(zero, share, np.where(ok, p, 1.0))
+    weight = n_x * (batch.tx_weight[head] if batch.tx_weight is not None else 1.0)
+    return {
+        "raw": float((n_x * np.log(np.maximum(value, 1e-300)))[ok].sum()), "normalizer": float(weight[ok].sum()), "zero_words": float((zero & ok).sum()),
+        "zero_topics": float((np.abs(theta) < 1e-37).sum()), "total_topics": float(theta.size), "items": float(batch.docs),
+        "token_weight": float(batch.weight.sum()), "token_weight_in_effect": float(batch.weight[batch.idx >= 0].sum()),
+    }
+
+
 def likelihood_sums(batch: Batch, phi: np.ndarray, theta: np.ndarray, unigram: np.ndarray | None = None) -> dict[str, float]:
     """Sums of a batch that its cumulative scores need. unigram: the collection's share of each row of Phi."""
     doc, known = batch.doc_of, batch.idx >= 0

@@ -15,8 +15,18 @@ def transform(x: np.ndarray, kind: str = "constant", a: float = 1.0, n: float =
     return np.where(x > 0, np.log(positive) if kind == "logarithm" else a * positive**n, 0.0)
 
 
+class ThetaRegularizer:
+    """Base of regularizers of Theta: called with n_td (documents x topics), titles and the number of the inner pass, it
+    gives r_td."""
+
+
+class PtdwRegularizer:
+    """Base of regularizers of occurrences: called with p(t|d,w) of a document's tokens and the number of the inner pass,
+    it gives the new values."""
+
+
 @dataclass
-class SmoothSparseTheta:
+class SmoothSparseTheta(ThetaRegularizer):
     """tau * alpha_iter[i] * tau_t * multiplier * f(n_td) where f is positive. titles: the documents it applies to, with
     multipliers by document (rows) or, one row, by topic; topics: their indices, None for all."""
 
@@ -51,7 +61,7 @@ class SmoothSparseTheta:
 
 
 @dataclass
-class TopicSelectionTheta:
+class TopicSelectionTheta(ThetaRegularizer):
     """-tau * alpha * topic_value[t] * n_td; topic_value = n / (n_t * T), refreshed from n_wt before each pass."""
 
     tau: float
@@ -74,7 +84,7 @@ class TopicSelectionTheta:
 
 
 @dataclass
-class HierarchySparsingTheta:
+class HierarchySparsingTheta(ThetaRegularizer):
     """For the parent model's topics as documents, all together: -tau * alpha * (1 / documents - (n_td / n_d) * prop_d / n_t) where n_td > 0,
     n_t the sum over documents of prop_d * n_td / n_d. zero_prior: 0 in place of the first term."""
 
@@ -95,7 +105,7 @@ class HierarchySparsingTheta:
 
 
 @dataclass
-class SmoothPtdw:
+class SmoothPtdw(PtdwRegularizer):
     """p(t|d,w) of neighbours: the sum over a window of positions, leaving out background tokens ("average"), or the product
     of both neighbours ("product"). background: indices of background topics."""
 
@@ -121,7 +131,7 @@ class SmoothPtdw:
 
 
 @dataclass
-class TopicSegmentationPtdw:
+class TopicSegmentationPtdw(PtdwRegularizer):
     """Assigns every token wholly to the main topic of its segment. A segment ends where the windows before and behind a token
     differ in their main topics by more than threshold."""
 

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import random_row
 from ..operators import estep, matrix
-from ..operators.kernel import Batch, likelihood_sums, occurrences, plain, transactions
+from ..operators.kernel import Batch, likelihood_sums, occurrences, plain, transaction_sums, transactions
 from ..operators.phi_regularizers import PhiRegularizer, total
 from ..operators.rank import token_numbers
-from ..operators.theta_regularizers import HierarchySparsingTheta, TopicSelectionTheta
+from ..operators.theta_regularizers import HierarchySparsingTheta, PtdwRegularizer, ThetaRegularizer, TopicSelectionTheta
 from ..operators.weights import weighted
 from ..schema import DEFAULT_TRANSACTION, EPS, TINY
 from ..storage import drop_path, shared_dir, written
@@ -144,12 +144,12 @@ def e_step(docs: DataFrame, phi: np.ndarray, plan: Pass) -> tuple[np.ndarray, di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = None, {}
         for _, batch, theta, typed in _batches(batches, topics, previous):
-            counters, _ = _run(batch, sent.value, theta, typed, plan)
+            counters, p = _run(batch, sent.value, theta, typed, plan)
             own = np.zeros((rows, topics)) if own is None else own
             own[counters.rows] += counters.nwt
-            if not typed:
-                for k, v in likelihood_sums(batch, sent.value, counters.theta, plan.unigram).items():
-                    sums[k] = sums.get(k, 0.0) + v
+            got = transaction_sums(batch, p, counters.theta) if typed else likelihood_sums(batch, sent.value, counters.theta, plan.unigram)
+            for k, v in got.items():
+                sums[k] = sums.get(k, 0.0) + v
         if own is not None:
             blocks = [(i // BLOCK_ROWS, own[i : i + BLOCK_ROWS].tobytes(), None) for i in range(0, rows, BLOCK_ROWS) if own[i : i + BLOCK_ROWS].any()]
             blocks.append((-1, b"", json.dumps(sums)))
@@ -249,8 +249,8 @@ class TopicModel:
         return ndw if "idx" in ndw.columns else encode(ndw, self.vocab, self.class_weights, self.type_weights)
 
     def _plan(self, **options) -> Pass:
-        agents = [r for r in self.regularizers.values() if hasattr(r, "__call__") and hasattr(r, "alpha_iter") and not isinstance(r, HierarchySparsingTheta)]
-        editors = [r for r in self.regularizers.values() if hasattr(r, "window")]
+        agents = [r for r in self.regularizers.values() if isinstance(r, ThetaRegularizer) and not isinstance(r, HierarchySparsingTheta)]
+        editors = [r for r in self.regularizers.values() if isinstance(r, PtdwRegularizer)]
         return Pass(self.document_passes, agents, editors, self.value if self.collection_unigram else None, **options)
 
     def _started(self, docs: DataFrame) -> DataFrame:
@@ -266,9 +266,10 @@ class TopicModel:
         nwt, sums = e_step(docs, self.m.pwt, self._plan())
         for agents, rows, weight in self._parents:
             nwt += weight * self._parent_counters(agents, rows)
-        if not sums.get("items"):
-            if not nwt.any():
-                raise ValueError("no items or tokens to process")
+        if not sums.get("items") and not nwt.any():
+            raise ValueError("no items to process")
+        if sums.get("items") and not sums["token_weight_in_effect"]:
+            raise ValueError("no token of the items is in the model")
         if self.reuse_theta:
             self._theta = written(infer(docs, self.m.pwt, self._plan(want="theta")))
         return nwt, sums
@@ -401,6 +402,39 @@ class TopicModel:
         out.history, out.regularizers, out.scores = list(self.history), dict(self.regularizers), dict(self.scores)
         return out
 
+    def get_phi(self, topics: list[str] | None = None, classes: list[str] | None = None, name: str = "pwt") -> pd.DataFrame:
+        """A matrix by (class_id, token); unknown topics are errors."""
+        unknown = set(topics or []) - set(self.topics)
+        if unknown:
+            raise ValueError(f"unknown topics {sorted(unknown)}")
+        rows = np.ones(len(self.m.tokens), bool) if classes is None else np.isin(self.m.classes, classes)
+        own = pd.DataFrame(getattr(self.m, name), index=self.phi().index, columns=self.topics)[rows]
+        return own if topics is None else own[topics]
+
+    def get_phi_sparse(self, spark: SparkSession, eps: float = EPS) -> DataFrame:
+        out = self.matrix(spark, "pwt", eps)
+        if out.isEmpty():
+            raise ValueError("no value above eps")
+        return out
+
+    def get_theta(self, ndw: DataFrame | None = None, eps: float | None = None) -> DataFrame:
+        """(item_id, title, topic, value): of the last pass with reuse_theta, or of ndw; with eps values of at least it."""
+        theta = self._theta if ndw is None else self.transform(ndw)
+        if theta is None:
+            raise ValueError("no Theta is kept; set reuse_theta or give documents")
+        names = F.array(*[F.lit(t) for t in self.topics])
+        long = theta.select("item_id", "title", F.explode(F.arrays_zip(names.alias("topic"), F.col("theta").alias("value"))).alias("x")).select("item_id", "title", "x.topic", "x.value")
+        return long if eps is None else long.where(F.col("value") >= eps)
+
+    def get_score(self, name: str):
+        """A score of the last pass, or of the model now if it needs no documents."""
+        return self.scores[name](self.m) if name in self.scores else self.history[-1][name]
+
+    @property
+    def score_tracker(self) -> dict[str, list]:
+        """By score, its values of all passes that have it."""
+        return {k: [h[k] for h in self.history if k in h] for k in sorted({k for h in self.history for k in h})}
+
     def remove_theta(self) -> None:
         self._theta = None
 

@@ -58,7 +58,7 @@ def theta_table(theta: DataFrame, topics: list[str]) -> DataFrame:
 
 def class_table(predictions: DataFrame) -> DataFrame:
     """(id, class): the most probable class, the first by name of equals."""
-    best = F.max_by("class_token", F.struct("p", F.lit(0)))
+    best = F.min_by("class_token", F.struct(-F.col("p"), F.col("class_token")))
     return predictions.groupBy(F.col("item_id").alias("id")).agg(best.alias("class")).orderBy("id")
 
 
