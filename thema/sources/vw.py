@@ -67,8 +67,8 @@ def parse_transactions(lines: DataFrame) -> DataFrame:
 def parse_vw(lines: DataFrame) -> DataFrame:
     """lines(item_id, value) without transactions, JVM-side: (item_id, title, pos, class_id, token, weight)."""
     own = lines.select("item_id", elements("value").alias("f"))
-    few = F.when(F.size("f") < 2, F.raise_error(F.lit("too few fields in a line")).cast("string")).otherwise(F.element_at("f", 1))
-    placed = own.select("item_id", few.alias("title"), F.posexplode(F.slice("f", 2, F.size("f"))).alias("pos", "e"))
+    rest = F.when(F.size("f") < 2, F.raise_error(F.lit("too few fields in a line")).cast("array<string>")).otherwise(F.slice("f", 2, F.size("f")))
+    placed = own.select("item_id", F.try_element_at("f", F.lit(1)).alias("title"), F.posexplode(rest).alias("pos", "e"))
     switch = F.when(F.col("e").startswith("|"), F.when(F.length("e") == 1, DEFAULT_CLASS).otherwise(F.expr("substring(e, 2)")))
     w = Window.partitionBy("item_id").orderBy("pos")
     marked = placed.withColumn("class_id", F.coalesce(F.last(switch, ignorenulls=True).over(w), F.lit(DEFAULT_CLASS)))
