@@ -26,6 +26,8 @@ from ..storage import is_plain_scan, shared_dir, written
 
 #: Bits of a fingerprint beyond log2 of the number of rows: of clean rows, 2 ** -SPARE become suspects.
 SPARE = 10
+#: Rows of an owner, about, beyond one owner for each shuffle partition.
+OWNER_ROWS = 8_000_000
 #: Sources whose bitmaps share one folder.
 SOURCES_PER_FOLDER = 64
 
@@ -158,7 +160,7 @@ def suspects(docs: DataFrame, text: str = "text", spare: int = SPARE) -> tuple[D
     flag, digest = _free(docs, "suspect"), _free(docs, "digest")
     rows = docs.count()
     width = min(62, max(16, math.ceil(math.log2(max(2, rows))) + spare))
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // OWNER_ROWS))
     owner_bits = min(width - 8, math.ceil(math.log2(max(2, owners))))
     value = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     fp = F.shiftrightunsigned(value, 64 - width)

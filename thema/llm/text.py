@@ -17,7 +17,16 @@ CHUNK = 1 << 20
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that travels empty: functions that use it are sent to the workers by value."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers: dict[int, np.ndarray] = _Kept()
 
 
 def powers(base: int, n: int) -> np.ndarray:
