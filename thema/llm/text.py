@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import as_bytes, chunks, lower, range_hash
@@ -199,8 +199,8 @@ def block_labels(url: Column, words: tuple[str, ...] = BLOCK_WORDS) -> Column:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     """A model grown on labelled(url, label), at most `sample` different URLs of each class. Null URLs and labels are left out."""
     own = labelled.where("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("url"), "url"))
-    got = own.withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("label", "nth").toArrow()
+    least = [own.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(sample) for k in (0, 1)]
+    got = least[0].unionAll(least[1]).orderBy("label", F.xxhash64("url"), "url").toArrow()
     return fit(got["url"].combine_chunks().cast(pa.string()), got["label"].to_numpy())
 
 
