@@ -81,7 +81,7 @@ def topic_mass(m: DataFrame, class_id: str, topics: list | None = None) -> DataF
 def class_precision(ndw: DataFrame, phi: DataFrame, theta: DataFrame, class_id: str) -> DataFrame:
     """(errors, total, value): whether an item's most probable token of the class (of equals the last by name) is among its own."""
     own = phi.where(F.col("class_id") == class_id).withColumnRenamed("value", "phi")
-    p = theta.join(F.broadcast(own), "topic").groupBy("item_id", "token").agg(F.sum(F.col("phi") * F.col("value")).alias("p"))
+    p = theta.join(own, "topic").groupBy("item_id", "token").agg(F.sum(F.col("phi") * F.col("value")).alias("p"))
     best = p.groupBy("item_id").agg(F.max(F.struct("p", "token")).alias("b")).select("item_id", F.col("b.token").alias("token"))
     has = ndw.where(F.col("class_id") == class_id).select("item_id", "token").distinct().withColumn("has", F.lit(1))
     s = best.join(has, ["item_id", "token"], "left").agg(F.sum(F.when(F.col("has").isNull(), 1).otherwise(0)).cast("long").alias("errors"), F.count(F.lit(1)).alias("total"))
