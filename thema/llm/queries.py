@@ -70,6 +70,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, row, p, array_to_string(w[p + 1:p + 13], ' ') AS g FROM d, unnest(range(len(w) - 12)) AS t(p)),
+bg AS (SELECT item_id, item, p AS q, array_to_string(w[p + 1:p + 13], ' ') AS g FROM b, unnest(range(len(w) - 12)) AS t(p)),
+h AS (SELECT doc_id, row, item_id, item, p, q, p - row_number() OVER (PARTITION BY row, item, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g))
+SELECT doc_id, item_id, min(p) AS doc_word, min(q) AS item_word, count(*) + 12 AS words FROM h GROUP BY doc_id, row, item_id, item, p - q, island
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -86,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_warc": "SELECT page_id, url, html FROM pages", "op5_sharding": sharding_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc": "SELECT page_id, url, html FROM pages", "op5_sharding": sharding_sql(), "op8_decontamination": OP8_SQL}
