@@ -68,6 +68,21 @@ def _by_row(idx: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, np.add.reduceat(values[order], first, axis=0) if len(rows) else np.zeros((0, values.shape[1]))
 
 
+def _inner(f: np.ndarray, weight: np.ndarray, theta: np.ndarray, passes: int) -> np.ndarray:
+    """One document's Theta after passes without agents."""
+    for _ in range(passes):
+        z = f.dot(theta)
+        if z.min() >= TINY:
+            n = (weight / z).dot(f)
+        else:
+            n = np.divide(weight, z, out=np.zeros_like(weight), where=np.abs(z) >= TINY).dot(f)
+        theta = theta * n
+        s = theta.sum()
+        theta = theta / s if s > 0 else np.zeros_like(theta)
+        theta[theta < TINY] = 0.0
+    return theta
+
+
 def plain(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int, agents: list | None = None) -> Counters:
     """Bag-of-words documents. Agents add r to the new, not yet normalized Theta in every pass. A document without known
     tokens keeps its Theta."""
@@ -81,9 +96,12 @@ def plain(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int, agents:
         z = np.einsum("ij,ij->i", f, theta[doc])
         return np.divide(weight, z, out=np.zeros_like(weight), where=np.abs(z) >= TINY)
 
-    for i in range(passes):
+    if not agents:  # documents apart: their rows of Phi stay in the processor's cache through all passes
+        for d in np.flatnonzero(has):
+            theta[d] = _inner(f[start[d] : start[d + 1]], weight[start[d] : start[d + 1]], theta[d], passes)
+    for i in range(passes if agents else 0):
         n_td = theta * segment_sums(f * ratio()[:, None], start)
-        r = sum((a(n_td, batch.titles, i) for a in agents or []), np.zeros_like(n_td))
+        r = sum((a(n_td, batch.titles, i) for a in agents), np.zeros_like(n_td))
         theta[has] = normalize_rows(n_td + r)[has]
     part = f * theta[doc] * (ratio() * batch.scale[doc])[:, None]
     return Counters(*_by_row(batch.idx[known], part), theta)

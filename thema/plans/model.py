@@ -34,7 +34,7 @@ MODEL_BYTES = 256 << 20
 #: Rows of n_wt in a block.
 BLOCK_ROWS = 4096
 #: Documents that the kernel takes at once.
-BATCH_DOCS = 512
+BATCH_DOCS = 64
 
 
 @dataclass

@@ -15,6 +15,7 @@ from ..operators import matrix as M
 from ..operators import regularizers as R
 from ..operators import scores as S
 from ..schema import DEFAULT_CLASS
+from ..storage import written
 from .corpus import TOPICS, bow, conversation_docs, start_counters, start_weights, table, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +72,20 @@ def _items(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"))
 
 
+def _em(spark, d):
+    """Bags of words, dictionary and Phi as written tables, for queries that read them several times."""
+    b = written(_bow(spark, d))
+    dictionary = written(D.gather(b))
+    return b, dictionary, written(M.normalize(start_weights(dictionary)))
+
+
+def _pass(spark, d, b, phi):
+    return E.theta_pass(b, phi, E.uniform_theta(_items(spark, d), list(range(TOPICS))))
+
+
 def _theta(spark, d):
-    return E.theta_pass(_bow(spark, d), _phi(spark, d), E.uniform_theta(_items(spark, d), list(range(TOPICS))))
+    b, _, phi = _em(spark, d)
+    return written(_pass(spark, d, b, phi))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -285,12 +298,14 @@ def em_step_theta(spark, d):
 
 @_query(f"WITH {THETA}, {STEP.format(i=1, j=2)} SELECT token, topic, round(sum(weight * q / z), 6) AS value FROM z1 WHERE abs(z) >= 1e-16 GROUP BY token, topic")
 def em_step_nwt(spark, d):
-    return _rounded(E.counters(_bow(spark, d), _phi(spark, d), _theta(spark, d)), "value").select("token", "topic", "value")
+    b, _, phi = _em(spark, d)
+    return _rounded(E.counters(b, phi, _pass(spark, d, b, phi)), "value").select("token", "topic", "value")
 
 
 @_query(f"WITH {THETA}, {STEP.format(i=1, j=2)} SELECT item_id, topic, round(value, 6) AS value FROM theta2")
 def em_two_passes(spark, d):
-    return _rounded(E.theta_pass(_bow(spark, d), _phi(spark, d), _theta(spark, d)), "value")
+    b, _, phi = _em(spark, d)
+    return _rounded(E.theta_pass(b, phi, written(_pass(spark, d, b, phi))), "value")
 
 
 @_query(f"WITH {THETA}, r AS (SELECT item_id, topic, row_number() OVER (PARTITION BY item_id ORDER BY value DESC, topic) AS rn FROM (SELECT item_id, topic, round(value, 9) AS value FROM theta1)) SELECT item_id, topic FROM r WHERE rn = 1")
@@ -404,7 +419,8 @@ def m_step(spark, d):
 @_query(f"""WITH {THETA}, pr AS (SELECT b.item_id, b.token, b.weight, sum(p.value * t.value) AS p FROM bow b JOIN phi p USING (token) JOIN theta1 t ON t.item_id = b.item_id AND t.topic = p.topic GROUP BY ALL), nd AS (SELECT *, sum(weight) OVER (PARTITION BY item_id) AS n_d FROM pr),
 e AS (SELECT nd.*, d.value AS u FROM nd JOIN dict d USING (token)) SELECT round(exp(-sum(weight * ln(CASE WHEN abs(p) < 1e-16 THEN u ELSE p END)) / sum(weight)), 4) AS perplexity, sum(CASE WHEN abs(p) < 1e-16 THEN 1 ELSE 0 END)::BIGINT AS zero_words FROM e""")
 def score_perplexity(spark, d):
-    p = S.perplexity(_bow(spark, d), _phi(spark, d), _theta(spark, d), _dict(spark, d))
+    b, dictionary, phi = _em(spark, d)
+    p = S.perplexity(b, phi, written(_pass(spark, d, b, phi)), dictionary)
     return p.select(F.round("perplexity", 4).alias("perplexity"), "zero_words")
 
 
