@@ -288,6 +288,20 @@ def topic_normalizer(spark, d):
     return M.topic_mass(_nwt(spark, d)).select("topic", "n_t")
 
 
+@_query(f"WITH {NWT} SELECT topic AS title, token, value AS weight FROM nwt WHERE value > 0")
+def parent_topics_as_documents(spark, d):
+    from ..sources.vectorizer import topics_as_documents
+
+    return topics_as_documents(_nwt(spark, d)).select("title", "token", "weight")
+
+
+@_query("SELECT doc_id AS item_id, " + " || ".join(f"chr(CAST(97 + (doc_id // 100 // {26**i}) % 26 AS INTEGER))" for i in range(5, -1, -1)) + " AS batch_id FROM documents")
+def batch_names(spark, d):
+    from ..sources.writers import batch_code
+
+    return _items(spark, d).withColumn("batch_id", batch_code(F.floor(F.col("item_id") / 100)))
+
+
 # -- EM ----------------------------------------------------------------------------------------
 
 

@@ -16,3 +16,8 @@ def union_sources(sources: list[tuple[DataFrame, float]]) -> DataFrame:
 def only_classes(ndw: DataFrame, classes: list[str] | None) -> DataFrame:
     """Tokens of the named modalities; none named is all."""
     return ndw if not classes else ndw.where(F.col("class_id").isin(classes))
+
+
+def topics_as_documents(nwt: DataFrame) -> DataFrame:
+    """A parent model's topics as documents: (title, class_id, token, weight) with the positive counters as weights."""
+    return nwt.where(F.col("value") > 0).select(F.col("topic").alias("title"), "class_id", "token", F.col("value").alias("weight"))
