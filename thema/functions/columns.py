@@ -13,6 +13,11 @@ def ascii_words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
 
 
+def words(text: Column | str) -> Column:
+    """The lower-cased runs of letters and digits of any script, and underscores, of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
 def elements(line: Column | str) -> Column:
     """Non-empty fields of a line between blanks, tabs and carriage returns."""
     return F.filter(F.split(line, "[ \t\r]"), lambda x: x != "")

@@ -18,6 +18,16 @@ def gather(ndw: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     return d.select("class_id", "token", "value", "tf", "df")
 
 
+def gather_lists(docs: DataFrame, class_id: str) -> DataFrame:
+    """gather() of one class from (item_id, tokens) with a row for each item: what an item holds is counted in its row, so the
+    partial sums alone are shuffled."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    every = docs.select(F.explode("tokens").alias("token"), one.alias("tf"), none.alias("df"))
+    once = docs.select(F.explode(F.array_distinct("tokens")).alias("token"), none.alias("tf"), one.alias("df"))
+    d = every.unionAll(once).groupBy(F.lit(class_id).alias("class_id"), "token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return d.select("class_id", "token", (F.col("tf") / F.sum("tf").over(Window.partitionBy("class_id"))).alias("value"), "tf", "df")
+
+
 def filtered(
     d: DataFrame, class_id: str | None = None, min_df: float | None = None, max_df: float | None = None, min_df_rate: float | None = None, max_df_rate: float | None = None,
     min_tf: float | None = None, max_tf: float | None = None, num_items: float | None = None, max_size: int | None = None, recalculate_value: bool = False,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_words
+from ..functions.columns import ascii_words, words
 from ..schema import DEFAULT_CLASS
 from ..storage import spread
 
@@ -16,16 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokens(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS) -> DataFrame:
-    """(item_id, class_id, token), a row for each occurrence."""
+def tokens(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = ascii_words) -> DataFrame:
+    """(item_id, class_id, token), a row for each occurrence; split gives a text's tokens."""
     c = F.lit(class_id) if isinstance(class_id, str) else class_id
     own = spread(docs.select(F.col(item_id).alias("item_id"), c.alias("class_id"), "text"))
-    return own.select("item_id", "class_id", F.explode(ascii_words("text")).alias("token"))
+    return own.select("item_id", "class_id", F.explode(split("text")).alias("token"))
 
 
-def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS) -> DataFrame:
+def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = ascii_words) -> DataFrame:
     """(item_id, class_id, token, weight)."""
-    return tokens(docs, item_id, class_id).groupBy("item_id", "class_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return tokens(docs, item_id, class_id, split).groupBy("item_id", "class_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,12 @@ def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("item_id", ascii_words("text").alias("tokens"))
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, tokens), an item for each document, with words of all scripts."""
+    own = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+    return own.select("item_id", words("text").alias("tokens"))
+
+
 def code(token: F.Column, topic: F.Column) -> F.Column:
     return (F.ascii(token) * 31 + F.length(token) * 7 + F.ascii(F.reverse(token)) * 13 + topic * 17) % 97
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_words
+from ..functions.columns import words
 from ..operators import cooc as C
 from ..operators import dictionary as D
 from ..operators import estep as E
@@ -16,7 +16,7 @@ from ..operators import regularizers as R
 from ..operators import scores as S
 from ..schema import DEFAULT_CLASS
 from ..storage import written
-from .corpus import TOPICS, bow, conversation_docs, start_counters, start_weights, table, tokens
+from .corpus import TOPICS, bow, conversation_docs, document_words, start_counters, start_weights, table, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -35,6 +35,15 @@ pos AS (SELECT item_id, rid, unnest(toks) AS token, generate_subscripts(toks, 1)
 pairs AS (SELECT a.item_id, a.token AS u, b.token AS v FROM pos a JOIN pos b ON a.rid = b.rid AND b.p BETWEEN a.p + 1 AND a.p + 5),
 both_ways AS (SELECT item_id, u, v FROM pairs UNION ALL SELECT item_id, v, u FROM pairs),
 cooc AS (SELECT u, v, count(*) AS tf, count(DISTINCT item_id) AS df FROM both_ways GROUP BY u, v)"""
+# The same over documents, with words of all scripts; neighbours are joined by position, as documents are long.
+WORD = r"[\p{L}\p{N}_]+"
+WORDS_NWT = NWT.replace("[a-z]+", WORD)
+DOCS = f"""docs AS (SELECT doc_id AS item_id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '{WORD}') AS toks FROM documents),
+pos AS (SELECT item_id, rid, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM docs),
+near AS (SELECT *, unnest(range(1, 6)) AS k FROM pos),
+pairs AS (SELECT a.item_id, a.token AS u, b.token AS v FROM near a JOIN pos b ON a.rid = b.rid AND b.p = a.p + a.k),
+both_ways AS (SELECT item_id, u, v FROM pairs UNION ALL SELECT item_id, v, u FROM pairs),
+cooc AS (SELECT u, v, count(*) AS tf, count(DISTINCT item_id) AS df FROM both_ways GROUP BY u, v)"""
 STEP = """q{i} AS (SELECT b.item_id, b.token, b.weight, p.topic, p.value * t.value AS q FROM bow b JOIN phi p USING (token) JOIN theta{i} t ON t.item_id = b.item_id AND t.topic = p.topic),
 z{i} AS (SELECT *, sum(q) OVER (PARTITION BY item_id, token) AS z FROM q{i}),
 n{i} AS (SELECT item_id, topic, sum(weight * q / z) AS n FROM z{i} WHERE abs(z) >= 1e-16 GROUP BY item_id, topic),
@@ -100,8 +109,20 @@ def _conv_cooc(spark, d):
     return C.cooccurrence(_conv_pairs(spark, d))
 
 
-def _class_cooc(spark, d):
-    return _conv_cooc(spark, d).where("u <> v").select(F.lit(DEFAULT_CLASS).alias("class_id"), "u", "v", F.col("tf").cast("double").alias("value"))
+def _class_cooc(cooc):
+    return cooc.where("u <> v").select(F.lit(DEFAULT_CLASS).alias("class_id"), "u", "v", F.col("tf").cast("double").alias("value"))
+
+
+def _doc_pairs(spark, d):
+    return C.window_pairs(document_words(spark, d), 5)
+
+
+def _doc_cooc(spark, d):
+    return C.cooccurrence(_doc_pairs(spark, d))
+
+
+def _doc_dict(spark, d):
+    return D.gather_lists(document_words(spark, d), DEFAULT_CLASS)
 
 
 # -- corpora and dictionaries ------------------------------------------------------------------
@@ -381,13 +402,13 @@ def reg_specified_sparse_tokens(spark, d):
 
 @_query(f"WITH {NWT}, {CONV} SELECT c.u AS token, n.topic, sum(c.tf * n.value) AS value FROM cooc c JOIN nwt n ON n.token = c.v WHERE c.u <> c.v GROUP BY 1, 2")
 def reg_coherence(spark, d):
-    return R.improve_coherence(_nwt(spark, d), _class_cooc(spark, d)).select("token", "topic", "value")
+    return R.improve_coherence(_nwt(spark, d), _class_cooc(_conv_cooc(spark, d))).select("token", "topic", "value")
 
 
 @_query(f"""WITH {NWT}, {CONV}, m AS (SELECT topic, sum(value) AS n_t FROM nwt GROUP BY topic), q AS (SELECT c.u, c.v, a.topic, c.tf, m.n_t * a.value * b.value AS q FROM cooc c JOIN phi a ON a.token = c.u JOIN phi b ON b.token = c.v AND b.topic = a.topic JOIN m ON m.topic = a.topic WHERE c.u <> c.v),
 s AS (SELECT *, sum(q) OVER (PARTITION BY u, v) AS s FROM q) SELECT u AS token, topic, round(sum(CASE WHEN s > 0 THEN tf * q / s ELSE 0 END), 6) AS value FROM s GROUP BY 1, 2""")
 def reg_biterms(spark, d):
-    return _rounded(R.biterms(_phi(spark, d), _nwt(spark, d), _class_cooc(spark, d)), "value").select("token", "topic", "value")
+    return _rounded(R.biterms(_phi(spark, d), _nwt(spark, d), _class_cooc(_conv_cooc(spark, d))), "value").select("token", "topic", "value")
 
 
 def _event_matrix(spark, d):
@@ -465,7 +486,7 @@ def top_tokens(spark, d):
 @_query(f"""WITH {NWT}, {CONV}, top AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY value DESC, token DESC) AS rank, token FROM nwt WHERE value >= 1e-37 QUALIFY rank <= 10), k AS (SELECT topic, count(*) AS k FROM top GROUP BY topic),
 s AS (SELECT a.topic, sum(c.tf) AS s FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank JOIN cooc c ON c.u = a.token AND c.v = b.token GROUP BY a.topic) SELECT topic, round(2.0 / (k * (k - 1)) * coalesce(s, 0), 6) AS coherence FROM k LEFT JOIN s USING (topic)""")
 def score_coherence(spark, d):
-    cooc = _class_cooc(spark, d)
+    cooc = _class_cooc(_conv_cooc(spark, d))
     return _rounded(S.top_tokens_coherence(_nwt(spark, d), cooc), "coherence")
 
 
@@ -545,6 +566,70 @@ def text_to_bow(spark, d):
     return text_to_counts(table(spark, d, "benchmark"))
 
 
+# -- co-occurrence in documents ----------------------------------------------------------------
+
+
+@_query(f"WITH {DOCS} SELECT u, v, tf, df FROM cooc")
+def cooc_tf_df_documents(spark, d):
+    return _doc_cooc(spark, d)
+
+
+@_query(f"WITH {DOCS} SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(sum(CASE WHEN u = v THEN 2 ELSE 1 END) AS BIGINT) AS tf, count(DISTINCT item_id) AS df FROM pairs GROUP BY 1, 2")
+def cooc_symmetric_documents(spark, d):
+    return C.cooccurrence(_doc_pairs(spark, d), symmetric=True)
+
+
+@_query(f"WITH {DOCS} SELECT u, v, tf, df FROM cooc WHERE u <> v AND tf >= 3 AND df >= 2")
+def cooc_min_documents(spark, d):
+    return C.selected(_doc_cooc(spark, d), 3, 2)
+
+
+@_query(_PPMI.format(conv=DOCS, n="(SELECT count(*) FROM both_ways)", x="n_tf", k="tf", t="m"))
+def ppmi_tf_documents(spark, d):
+    pairs, docs = _doc_pairs(spark, d), document_words(spark, d)
+    n = pairs.agg((2 * F.count(F.lit(1))).alias("n"))
+    return _rounded(C.ppmi(C.selected(C.cooccurrence(pairs)), C.marginals(pairs, docs), "tf", n), "value")
+
+
+@_query(_PPMI.format(conv=DOCS, n="(SELECT count(*) FROM documents)", x="n_df", k="df", t="e"))
+def ppmi_df_documents(spark, d):
+    pairs, docs = _doc_pairs(spark, d), document_words(spark, d)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(C.ppmi(C.selected(C.cooccurrence(pairs)), C.marginals(pairs, docs), "df", n), "value")
+
+
+@_query(f"WITH {WORDS_NWT}, {DOCS} SELECT c.u AS token, n.topic, sum(c.tf * n.value) AS value FROM cooc c JOIN nwt n ON n.token = c.v WHERE c.u <> c.v GROUP BY 1, 2")
+def reg_coherence_documents(spark, d):
+    n = start_counters(_doc_dict(spark, d))
+    return R.improve_coherence(n, _class_cooc(_doc_cooc(spark, d))).select("token", "topic", "value")
+
+
+@_query(f"""WITH {WORDS_NWT}, {DOCS}, m AS (SELECT topic, sum(value) AS n_t FROM nwt GROUP BY topic), q AS (SELECT c.u, c.v, a.topic, c.tf, m.n_t * a.value * b.value AS q FROM cooc c JOIN phi a ON a.token = c.u JOIN phi b ON b.token = c.v AND b.topic = a.topic JOIN m ON m.topic = a.topic WHERE c.u <> c.v),
+s AS (SELECT *, sum(q) OVER (PARTITION BY u, v) AS s FROM q) SELECT u AS token, topic, round(sum(CASE WHEN s > 0 THEN tf * q / s ELSE 0 END), 6) AS value FROM s GROUP BY 1, 2""")
+def reg_biterms_documents(spark, d):
+    dictionary = written(_doc_dict(spark, d))
+    r = R.biterms(M.normalize(start_weights(dictionary)), start_counters(dictionary), _class_cooc(_doc_cooc(spark, d)))
+    return _rounded(r, "value").select("token", "topic", "value")
+
+
+@_query(f"""WITH {WORDS_NWT}, {DOCS}, top AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY value DESC, token DESC) AS rank, token FROM nwt WHERE value >= 1e-37 QUALIFY rank <= 10), k AS (SELECT topic, count(*) AS k FROM top GROUP BY topic),
+s AS (SELECT a.topic, sum(c.tf) AS s FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank JOIN cooc c ON c.u = a.token AND c.v = b.token GROUP BY a.topic) SELECT topic, round(2.0 / (k * (k - 1)) * coalesce(s, 0), 6) AS coherence FROM k LEFT JOIN s USING (topic)""")
+def score_coherence_documents(spark, d):
+    """Pairs of top tokens alone are counted, as no other pair enters the score."""
+    top = written(M.top_tokens(start_counters(_doc_dict(spark, d))))
+    names = [r["token"] for r in top.select("token").distinct().collect()]
+    marked = document_words(spark, d).withColumn("tokens", F.transform("tokens", lambda x: F.when(x.isin(names), x)))
+    pairs = C.window_pairs(marked, 5).where("u IS NOT NULL AND v IS NOT NULL")
+    return _rounded(S.coherence(top, _class_cooc(C.cooccurrence(pairs))), "coherence")
+
+
+@_query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS token FROM documents) GROUP BY token")
+def text_to_bow_documents(spark, d):
+    from ..sources.text import text_to_counts
+
+    return text_to_counts(table(spark, d, "documents"), words)
+
+
 def queries() -> dict[str, Query]:
     from . import fitted
 

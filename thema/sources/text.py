@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_words
 
 
-def text_to_counts(docs: DataFrame) -> DataFrame:
+def text_to_counts(docs: DataFrame, split: Callable[[str], Column] = ascii_words) -> DataFrame:
     """(token, n) over all texts."""
-    return docs.select(F.explode(ascii_words("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(split("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
