@@ -54,3 +54,11 @@ def test_dictionary_of_lists(spark, tmp_path):
     d = _tables(spark, tmp_path)
     want = D.gather(bow(table(spark, d, "documents"), split=words))
     assert sorted(Q._doc_dict(spark, d).collect()) == sorted(want.collect())
+
+
+def test_fitted_corpus_has_all_scripts(spark, tmp_path):
+    from thema.plans import fitted
+
+    d = _tables(spark, tmp_path)
+    ndw = fitted._corpus(spark, d)[0]
+    assert {r["token"] for r in ndw.collect()} == {"été", "à", "la", "plage", "2024", "москва", "и", "x_1"}

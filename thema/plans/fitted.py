@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_words
+from ..functions.columns import words
 from ..operators import dictionary as D
 from ..operators import matrix as M
 from ..operators.phi_regularizers import DecorrelatorPhi, SmoothSparsePhi
@@ -20,7 +20,7 @@ from .model import TopicModel
 
 def _corpus(spark: SparkSession, d: str, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
     """Documents as bags of words, and the dictionary of tokens in at least min_df documents."""
-    own = written(bow(table(spark, d, "documents")))
+    own = written(bow(table(spark, d, "documents"), split=words))
     return own, D.filtered(D.gather(own), min_df=min_df)
 
 
@@ -56,7 +56,7 @@ def transform_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Theta of benchmark items under a model of the documents."""
     ndw, dictionary = _corpus(spark, d)
     model = TopicModel(8, dictionary).fit_offline(ndw, 3)
-    theta = model.transform(bow(table(spark, d, "benchmark"), "item_id"))
+    theta = model.transform(bow(table(spark, d, "benchmark"), "item_id", split=words))
     return theta.select("item_id", F.posexplode("theta").alias("topic", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -69,7 +69,7 @@ def multimodal(spark: SparkSession, d: str) -> DataFrame:
     """Language and source as modalities of their own, next to the words."""
     docs = table(spark, d, "documents")
     tags = docs.select(F.col("doc_id").alias("item_id"), F.explode(F.array(F.struct(F.lit("@lang").alias("class_id"), F.col("lang").alias("token")), F.struct(F.lit("@source").alias("class_id"), F.col("source").alias("token")))).alias("x"))
-    ndw = bow(docs).unionByName(tags.select("item_id", "x.class_id", "x.token", F.lit(1.0).alias("weight")))
+    ndw = bow(docs, split=words).unionByName(tags.select("item_id", "x.class_id", "x.token", F.lit(1.0).alias("weight")))
     model = TopicModel(6, D.filtered(D.gather(ndw), class_id=DEFAULT_CLASS, min_df=10), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
     return model.matrix(spark).where(F.col("class_id") == "@lang").withColumn("value", F.round("value", 6))
 
@@ -86,7 +86,7 @@ def hierarchy_psi(spark: SparkSession, d: str) -> DataFrame:
 
 def ptdw_segmentation(spark: SparkSession, d: str) -> DataFrame:
     """The main topic of every word of conversations, in segments."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), F.posexplode(ascii_words("text")).alias("pos", "token"))
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), F.posexplode(words("text")).alias("pos", "token"))
     ndw = turns.select("item_id", "pos", F.lit(DEFAULT_CLASS).alias("class_id"), "token", F.lit(1.0).alias("weight"))
     model = TopicModel(5, D.filtered(D.gather(ndw), min_df=3)).fit_offline(ndw, 2)
     model.regularizers["segments"] = TopicSegmentationPtdw(10, 0.2)
