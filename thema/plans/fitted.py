@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import words
@@ -95,13 +95,16 @@ def ptdw_segmentation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of orders as transactions of part, flag and status: p(x|d) after three passes, in ten classes."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.struct(F.lit("@brand").alias("c"), F.pmod("l_partkey", F.lit(50)).cast("string").alias("t")), F.struct(F.lit("@flag").alias("c"), F.col("l_returnflag").alias("t")), F.struct(F.lit("@status").alias("c"), F.col("l_linestatus").alias("t"))).alias("x"))
-    own = lines.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("tx_id"), F.lit("line").alias("tt_name"), F.posexplode("x").alias("p", "x"))
+    """Lines of orders as transactions of part, flag and status: p(x|d) of every line after three passes. Line numbers repeat within
+    orders, so lines are numbered anew (line, from 0); which of two equal lines is which doesn't matter."""
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")) - 1
+    lines = written(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), line.alias("line"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").cast("string").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")))
+    x = F.array(*[F.struct(F.lit(f"@{c}").alias("c"), F.col(c).alias("t")) for c in ("part", "flag", "status")])
+    own = lines.select("item_id", F.col("line").alias("tx_id"), F.lit("line").alias("tt_name"), F.posexplode(x).alias("p", "x"))
     ndw = own.select("item_id", (F.col("tx_id") * 3 + F.col("p")).alias("pos"), "tx_id", "tt_name", F.col("x.c").alias("class_id"), F.col("x.t").alias("token"), F.lit(1.0).alias("weight"))
     model = TopicModel(4, D.gather(ndw), type_weights={"line": 1.0, DEFAULT_TRANSACTION: 1.0}, document_passes=5).fit_offline(ndw, 3)
-    p = model.transform(ndw, "ptx")
-    return p.groupBy(F.floor(F.round("p", 6) * 10).alias("decile")).agg(F.count(F.lit(1)).alias("n"))
+    p = model.transform(ndw, "ptx").select("item_id", F.col("pos").alias("line"), F.round("p", 6).alias("p"))
+    return lines.select("item_id", "line", "line_number").join(p, ["item_id", "line"])
 
 
 def stream_online(spark: SparkSession, d: str) -> DataFrame:
