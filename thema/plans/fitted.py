@@ -18,10 +18,10 @@ from .lda import Lda
 from .model import TopicModel
 
 
-def _corpus(spark: SparkSession, d: str, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Documents as bags of words, and the dictionary of tokens in at least min_df documents."""
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as bags of words, and their whole dictionary."""
     own = written(bow(table(spark, d, "documents"), split=words))
-    return own, D.filtered(D.gather(own), min_df=min_df)
+    return own, D.gather(own)
 
 
 def _top(model: TopicModel, spark: SparkSession, k: int = 10) -> DataFrame:
@@ -70,7 +70,7 @@ def multimodal(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     tags = docs.select(F.col("doc_id").alias("item_id"), F.explode(F.array(F.struct(F.lit("@lang").alias("class_id"), F.col("lang").alias("token")), F.struct(F.lit("@source").alias("class_id"), F.col("source").alias("token")))).alias("x"))
     ndw = bow(docs, split=words).unionByName(tags.select("item_id", "x.class_id", "x.token", F.lit(1.0).alias("weight")))
-    model = TopicModel(6, D.filtered(D.gather(ndw), class_id=DEFAULT_CLASS, min_df=10), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
+    model = TopicModel(6, D.gather(ndw), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
     return model.matrix(spark).where(F.col("class_id") == "@lang").withColumn("value", F.round("value", 6))
 
 
@@ -88,7 +88,7 @@ def ptdw_segmentation(spark: SparkSession, d: str) -> DataFrame:
     """The main topic of every word of conversations, in segments."""
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), F.posexplode(words("text")).alias("pos", "token"))
     ndw = turns.select("item_id", "pos", F.lit(DEFAULT_CLASS).alias("class_id"), "token", F.lit(1.0).alias("weight"))
-    model = TopicModel(5, D.filtered(D.gather(ndw), min_df=3)).fit_offline(ndw, 2)
+    model = TopicModel(5, D.gather(ndw)).fit_offline(ndw, 2)
     model.regularizers["segments"] = TopicSegmentationPtdw(10, 0.2)
     p = model.transform(ndw, "ptdw")
     return p.select("item_id", "pos", (F.array_position("p", F.lit(1.0)) - 1).alias("topic"))

@@ -151,8 +151,12 @@ def e_step(docs: DataFrame, phi: np.ndarray, plan: Pass) -> tuple[np.ndarray, di
             for k, v in got.items():
                 sums[k] = sums.get(k, 0.0) + v
         if own is not None:
-            blocks = [(i // BLOCK_ROWS, own[i : i + BLOCK_ROWS].tobytes(), None) for i in range(0, rows, BLOCK_ROWS) if own[i : i + BLOCK_ROWS].any()]
-            blocks.append((-1, b"", json.dumps(sums)))
+            blocks = [(-1, b"", json.dumps(sums))]
+            for i in range(0, rows, BLOCK_ROWS):
+                part = own[i : i + BLOCK_ROWS]
+                at = np.flatnonzero(part.any(axis=1))  # of rare tokens most partitions have none
+                if len(at):
+                    blocks.append((i // BLOCK_ROWS, at.astype(np.int32).tobytes() + part[at].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.binary(), pa.string()))], names=["block", "data", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +166,10 @@ def e_step(docs: DataFrame, phi: np.ndarray, plan: Pass) -> tuple[np.ndarray, di
                 for k, v in json.loads(s).items():
                     sums[k] = sums.get(k, 0.0) + v
             return pd.DataFrame({"block": [-1], "data": [b""], "sums": [json.dumps(sums)]})
-        data = np.sum([np.frombuffer(x) for x in sorted(pdf["data"])], axis=0)
+        data = np.zeros((min(BLOCK_ROWS, rows - int(pdf["block"].iloc[0]) * BLOCK_ROWS), topics))
+        for x in sorted(pdf["data"]):
+            n = len(x) // (4 + 8 * topics)
+            data[np.frombuffer(x, np.int32, n)] += np.frombuffer(x, np.uint8, offset=4 * n).view(np.float64).reshape(n, topics)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [data.tobytes()], "sums": [None]})
 
     schema = "block int, data binary, sums string"
