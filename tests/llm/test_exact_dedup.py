@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from thema.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, golomb_decode, golomb_encode, rice_bits
 
@@ -54,3 +56,50 @@ def test_false_suspects_fall_out(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id % 3500) AS text")
     got = exact_duplicates(docs).toPandas()
     assert got.kept.sum() == 3500 and (got.keep_id == got.doc_id % 3500).all()
+
+
+def kept(df):
+    return df.where("kept").count()
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_other_splits_between_call_and_action(spark, tmp_path, plain):
+    """The result doesn't depend on how the scan is split when it is run."""
+    spark.range(40_000).selectExpr("id AS doc_id", "concat('text ', id % 20000) AS text").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    docs = docs if plain else docs.distinct()
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "4")
+        got, rows = exact_duplicates(docs, source_rows=1000), drop_exact_duplicates(docs, source_rows=1000)
+        spark.conf.set(names[0], "16")
+        spark.conf.set(names[1], "20000")
+        spark.conf.set(names[2], "1000")
+        assert kept(got) == 20_000 and got.count() == 40_000 and rows.count() == 20_000
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_hot_text_and_repeated_rows(spark):
+    """A third of all rows hold one text, some of them with one doc_id; one row of them is kept."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, id % 7, id) AS doc_id", "if(id % 3 = 0, repeat('hot ', 500), concat('t', id)) AS text")
+    got = exact_duplicates(docs).toPandas()
+    assert len(got) == 3000 and got.kept.sum() == 2001 and (got.keep_id == 0).sum() == 1000
+    assert drop_exact_duplicates(docs).count() == 2001
+
+
+def test_hash_collisions_go_by_text(spark, monkeypatch):
+    """Different texts under one hash stay apart."""
+    import thema.llm.exact_dedup as module
+
+    monkeypatch.setattr(module.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_duplicates(docs).collect()) == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 4, True)]
+    assert sorted(r.doc_id for r in drop_exact_duplicates(docs).collect()) == [1, 2, 4]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_duplicates(docs).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import _free
+from .place import free as _free
 from .text import HashTable, as_bytes, chunks, kgrams, lower, word_hashes
 
 K = 8

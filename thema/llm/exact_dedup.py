@@ -1,14 +1,17 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange.
 
-1. Every source partition truncates the 64-bit hashes of its texts to fingerprints, sorts the
+1. Every source (a run of rows of a file) truncates the 64-bit hashes of its texts to fingerprints, sorts the
    distinct ones, cuts them by owner (a range of fingerprints) and sends each owner a
    Golomb-coded list of differences: a few bits for each document instead of its text.
 2. An owner decodes the lists it got, finds fingerprints that occur in more than one place, and
-   returns each source a bitmap over its list. A fingerprint that occurs twice within a source is
+   returns each source a bitmap over its list. A fingerprint that occurs twice within a list is
    marked there already.
 3. A source looks up its bitmaps (each task reads its own from the shared folder; nothing is
-   broadcast) and calls the marked documents suspects. Only these are shuffled, with whole texts,
-   and compared byte by byte. A false suspect, of a chance collision of fingerprints, falls out here.
+   broadcast) and calls the marked documents suspects. Only these are compared byte by byte: by hash, each task's
+   different texts are shuffled, copies of a text meet as one. A false suspect, of a chance collision of fingerprints,
+   falls out here.
+
+Which source a row belongs to follows from its file and its number there, not from how a job splits the scan.
 """
 
 from __future__ import annotations
@@ -19,51 +22,48 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import is_plain_scan, shared_dir, written
+from ..storage import filesystem, shared_dir, written
+from .place import block, free, placed
 
 #: Bits of a fingerprint beyond log2 of the number of rows: of clean rows, 2 ** -SPARE become suspects.
 SPARE = 10
 #: Rows of an owner, about, beyond one owner for each shuffle partition.
 OWNER_ROWS = 8_000_000
+#: Rows of a source.
+SOURCE_ROWS = 1 << 19
 #: Sources whose bitmaps share one folder.
 SOURCES_PER_FOLDER = 64
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> bytes:
-    """Golomb-Rice code of ascending distinct values: differences as a unary quotient (zeros, then a
-    one) and `bits` low bits."""
+    """Golomb-Rice code of ascending distinct values: all differences' quotients in unary (zeros, then a one), then from the next byte on
+    their `bits` low bits each."""
     if not len(values):
         return b""
     gaps = np.diff(values, prepend=values[:1] * 0).astype(np.int64)
-    quotients = gaps >> bits
-    ends = np.cumsum(quotients + 1 + bits)
-    out = np.zeros(int(ends[-1]), np.uint8)
-    out[ends - bits - 1] = 1
+    ends = np.cumsum((gaps >> bits) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    low = np.empty((len(gaps), bits), np.uint8)
     for j in range(bits):
-        out[ends - bits + j] = (gaps >> (bits - 1 - j)) & 1
-    return np.packbits(out).tobytes()
+        low[:, j] = (gaps >> (bits - 1 - j)) & 1
+    return np.packbits(unary).tobytes() + np.packbits(low.ravel()).tobytes()
 
 
 def golomb_decode(blob: bytes, count: int, bits: int) -> np.ndarray:
     """The inverse of golomb_encode."""
     if not count:
         return np.zeros(0, np.int64)
-    raw = np.unpackbits(np.frombuffer(blob, np.uint8))
-    ones = np.flatnonzero(raw)
-    at, stops = 0, np.empty(count, np.int64)
-    listed = ones.tolist()
-    k, n = 0, len(listed)
-    for i in range(count):  # the next one at or after `at` ends the quotient
-        while k < n and listed[k] < at:
-            k += 1
-        stops[i] = listed[k]
-        at = listed[k] + 1 + bits
-    gaps = np.diff(stops, prepend=-1 - bits) - 1 - bits << bits
+    low_bytes = -(-count * bits // 8)
+    raw = np.frombuffer(blob, np.uint8)
+    ends = np.flatnonzero(np.unpackbits(raw[: len(raw) - low_bytes]))
+    gaps = np.diff(ends, prepend=-1) - 1 << bits
+    low = np.unpackbits(raw[len(raw) - low_bytes :], count=count * bits).reshape(count, bits)
     for j in range(bits):
-        gaps |= raw[stops + 1 + j].astype(np.int64) << (bits - 1 - j)
+        gaps |= low[:, j].astype(np.int64) << (bits - 1 - j)
     return np.cumsum(gaps)
 
 
@@ -94,9 +94,9 @@ def _send(width: int, owner_bits: int):
     return run
 
 
-_SENT = pa.schema([("source", pa.int32()), ("owner", pa.int32()), ("count", pa.int32()), ("bits", pa.int32()), ("list", pa.binary()), ("twice", pa.binary())])
-_SENT_SQL = "source int, owner int, count int, bits int, list binary, twice binary"
-_MARKED_SQL = "source int, owner int, count int, bits int, list binary, marks binary"
+_SENT = pa.schema([("source", pa.int64()), ("owner", pa.int32()), ("count", pa.int32()), ("bits", pa.int32()), ("list", pa.binary()), ("twice", pa.binary())])
+_SENT_SQL = "source long, owner int, count int, bits int, list binary, twice binary"
+_MARKED_SQL = "source long, owner int, count int, bits int, list binary, marks binary"
 
 
 def _own(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[np.array(keep, bool), ["source", "owner", "count", "bits", "list", "marks"]]
 
 
-def _suspect(path: str, width: int, owner_bits: int):
+def _suspect(path: str, folders: int, width: int, owner_bits: int):
     cache: dict[int, np.ndarray] = {}
 
     def marked(source: int) -> np.ndarray:
@@ -124,8 +124,8 @@ def _suspect(path: str, width: int, owner_bits: int):
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(path)
-        folder = f"{root}/folder={source // SOURCES_PER_FOLDER}"
+        files, root = filesystem(path)
+        folder = f"{root}/folder={source % folders}"
         if files.get_file_info(folder).type == fs.FileType.NotFound:
             return np.zeros(0, np.int64)
         got = ds.dataset(folder, filesystem=files, format="parquet").to_table(filter=ds.field("source") == source)
@@ -133,7 +133,7 @@ def _suspect(path: str, width: int, owner_bits: int):
         for r in got.to_pylist():
             own = golomb_decode(r["list"], r["count"], r["bits"]) + (r["owner"] << (width - owner_bits))
             out.append(own[np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=r["count"]).astype(bool)])
-        return np.sort(np.concatenate(out))
+        return np.unique(np.concatenate(out))
 
     def suspect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, fp in batches:
@@ -151,60 +151,68 @@ def _suspect(path: str, width: int, owner_bits: int):
     return F.pandas_udf(suspect, "boolean")
 
 
-def suspects(docs: DataFrame, text: str = "text", spare: int = SPARE) -> tuple[DataFrame, str, str]:
-    """docs with two more columns, whose names are returned: whether the row may have an exact copy,
-    and the text's 64-bit hash. Of rows with a copy none is missed."""
+def suspects(docs: DataFrame, text: str = "text", spare: int = SPARE, source_rows: int = SOURCE_ROWS) -> tuple[DataFrame, str, str, str, str]:
+    """docs with four more columns, whose names are returned: whether the row may have an exact copy, the text's 64-bit hash, and the
+    row's place (see placed). Of rows with a copy none is missed."""
     spark = docs.sparkSession
-    if not is_plain_scan(docs):
-        docs = written(docs)
-    flag, digest = _free(docs, "suspect"), _free(docs, "digest")
+    docs, file, row = placed(docs)
+    flag, digest = free(docs, "suspect"), free(docs, "digest")
     rows = docs.count()
     width = min(62, max(16, math.ceil(math.log2(max(2, rows))) + spare))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // OWNER_ROWS))
     owner_bits = min(width - 8, math.ceil(math.log2(max(2, owners))))
+    folders = max(1, rows // (source_rows * SOURCES_PER_FOLDER))
+    source = block(file, row, source_rows)
     value = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     fp = F.shiftrightunsigned(value, 64 - width)
-    own = docs.where(F.col(text).isNotNull()).select(F.spark_partition_id().alias("source"), fp.alias("fp"))
+    own = docs.where(F.col(text).isNotNull()).select(source.alias("source"), fp.alias("fp"))
     path = shared_dir(spark)
     (
         own.mapInArrow(_send(width, owner_bits), _SENT_SQL)
         .groupBy("owner").applyInPandas(_own, _MARKED_SQL)
-        .withColumn("folder", F.expr(f"source div {SOURCES_PER_FOLDER}"))
+        .withColumn("folder", F.pmod("source", F.lit(folders)))
         .repartition("folder").sortWithinPartitions("folder", "source")
         .write.partitionBy("folder").parquet(path)
     )
-    out = docs.withColumn(digest, value).withColumn(flag, F.col(text).isNotNull() & _suspect(path, width, owner_bits)(F.spark_partition_id(), fp))
-    return out, flag, digest
+    out = docs.withColumn(digest, value).withColumn(flag, F.col(text).isNotNull() & _suspect(path, folders, width, owner_bits)(source, fp))
+    return out, flag, digest, file, row
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def _first(doc_id: str, file: str, row: str) -> Column:
+    """The order of copies: by doc_id, null last, then by place."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(file).alias("file"), F.col(row).alias("row"))
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, keep_id, kept) for every row of docs: keep_id is the least doc_id among the rows with
     the same bytes, kept is true for one row of them.
 
     A row without copies keeps itself. Rows with a null text are no copies of each other and are
     kept; empty texts are equal texts. A null doc_id is larger than any other; of rows that repeat a
-    doc_id and a text one is kept. An empty table gives an empty result; other columns are ignored.
+    doc_id and a text one is kept. An empty table gives an empty result; other columns are ignored. options: see suspects().
     """
-    df, flag, digest = suspects(docs, text)
-    df = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.col(flag).alias("_flag"), F.col(digest).alias("_digest"))
-    same = Window.partitionBy("_digest", "_text").orderBy(F.col("doc_id").asc_nulls_last())
-    alone = df.where(~F.col("_flag")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(True).alias("kept"))
-    copies = df.where("_flag").select("doc_id", F.first("doc_id").over(same).alias("keep_id"), (F.row_number().over(same) == 1).alias("kept"))
-    return alone.unionAll(copies)
+    df, flag, digest, file, row = suspects(docs, text, **options)
+    df = df.select(_first(doc_id, file, row).alias("own"), F.col(text).alias("text"), F.col(flag).alias("flag"), F.col(digest).alias("digest"))
+    alone = df.where(~F.col("flag")).select(F.col("own.id").alias("doc_id"), F.col("own.id").alias("keep_id"), F.lit(True).alias("kept"))
+    copies = df.where("flag")
+    # Each task hands on the different texts of a hash, so a text's copies meet as one row.
+    groups = written(
+        copies.groupBy("digest").agg(F.min("own").alias("best"), F.collect_set("text").alias("texts"))
+        .select("digest", "best", F.when(F.size("texts") > 1, F.col("texts")).alias("texts"))
+    )
+    several = groups.where("texts IS NOT NULL").select("digest")
+    one = groups.where("texts IS NULL").select("digest", "best")
+    out = copies.select("own", "digest").join(one, "digest")
+    if not several.isEmpty():  # different texts share a hash: theirs go by text
+        rest = copies.join(several, "digest", "left_semi")
+        out = out.select("own", "best").unionAll(rest.join(rest.groupBy("digest", "text").agg(F.min("own").alias("best")), ["digest", "text"]).select("own", "best"))
+    return alone.unionAll(out.select(F.col("own.id").alias("doc_id"), F.col("best.id").alias("keep_id"), (F.col("own") == F.col("best")).alias("kept")))
 
 
-def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that exact_duplicates() keeps."""
-    df, flag, digest = suspects(docs, text)
-    n = _free(df, "nth")
-    same = Window.partitionBy(digest, text).orderBy(F.col(doc_id).asc_nulls_last())
-    copies = df.where(flag).withColumn(n, F.row_number().over(same)).where(F.col(n) == 1)
-    return df.where(~F.col(flag)).select(docs.columns).unionAll(copies.select(docs.columns))
+    df, flag, digest, file, row = suspects(docs, text, **options)
+    copies = df.where(flag).select(F.col(digest).alias("digest"), F.col(text).alias("text"), F.struct(_first(doc_id, file, row).alias("first"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest")).alias("row"))
+    kept = copies.groupBy("digest", "text").agg(F.min_by("row", "row.first").alias("row"))
+    columns = [F.col("text").alias(c) if c == text else F.col("row.rest").getField(c).alias(c) for c in docs.columns]
+    return df.where(~F.col(flag)).select(docs.columns).unionAll(kept.select(columns))

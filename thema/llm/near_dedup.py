@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .exact_dedup import _free
+from .place import free as _free
 from .text import as_bytes, chunks, lower, mix, range_hash, word_hashes
 
 K = 3

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import _free
+from .place import free as _free
 from .text import as_bytes, chunks, range_hash, word_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most: those with the least hash of doc_id.
