@@ -1,10 +1,12 @@
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from thema.llm.packing import pack, pack_documents
+from thema.llm.packing import _words, pack, pack_documents
 
 
 def brute(sizes, capacity):
@@ -30,7 +32,7 @@ def test_same_fill_as_packing_one_by_one(case):
     if not len(size):
         return
     rank = np.concatenate([np.arange(h[s]) for s in sorted(h)])
-    to, offset = runs.place(size, rank)
+    to, offset = runs.places(h).find(size, rank)
     got = {}
     for s, b, o in zip(size.tolist(), to.tolist(), offset.tolist()):
         got.setdefault(b, []).append((o, s))
@@ -67,3 +69,40 @@ def test_table_against_brute_force(spark, sf_dir):
     assert Counter(got.groupby("bin_id").length.sum()) == want
     words = docs.toPandas().set_index("doc_id").text.str.split().str.len()
     assert (got.groupby("doc_id").length.sum() == words.sort_index()).all()
+
+
+def test_large_capacity():
+    r = np.random.default_rng(1)
+    sizes = np.minimum(r.geometric(1 / 20_000, 3000), 131_072).tolist() + [131_072] * 5
+    runs = pack(Counter(sizes), 131_072)
+    want = brute(sizes, 131_072)
+    assert runs.bins == len(want)
+    h = Counter(sizes)
+    places = runs.places(h)
+    fill = Counter()
+    for s, n in h.items():
+        to, offset = places.find(np.full(n, s), np.arange(n))
+        for b in to.tolist():
+            fill[b] += s
+    assert Counter(fill.values()) == Counter(map(sum, want))
+    began = time.perf_counter()
+    assert pack({s: 3 for s in range(1, 131_073)}, 131_072).bins > 0
+    assert time.perf_counter() - began < 30
+
+
+def test_documents_beyond_old_capacity(spark):
+    got = pack_documents(spark.createDataFrame([(1, "w " * 200_000), (2, "a b")], "doc_id long, text string"), capacity=131_072).toPandas()
+    assert sorted(got.length) == [2, 68_928, 131_072] and got.groupby("bin_id").length.sum().max() == 131_072
+
+
+def test_blanks_are_counted_in_linear_time():
+    began = time.perf_counter()
+    assert _words(pa.array([" " * 10_000_000 + "a" + "\n" * 1_000_000, None, "", "a b", " a\u00a0b ", "x"])).to_pylist() == [1, 0, 0, 2, 1, 1]
+    assert time.perf_counter() - began < 1
+
+
+def test_hot_ids_and_ids_of_other_types(spark):
+    docs = spark.range(400).selectExpr("if(id % 3 = 0, null, concat('d', id)) AS doc_id", "repeat('w ', 3) AS text")
+    got = pack_documents(docs, capacity=7, ranked=10).toPandas()
+    assert len(got) == 400 and got.bin_id.value_counts().tolist() == [2] * 200 and sorted(set(got.offset)) == [0, 3]
+    assert not got.duplicated(["bin_id", "offset"]).any() and got.doc_id.isna().sum() == 134

@@ -19,14 +19,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .sharding import bucket_of, numbered
+from .sharding import BUCKETS, bucket_of
+from .text import as_bytes
 
 #: Words in a bin.
 CAPACITY = 2048
+#: Items of a length that are sorted in one task, about.
+RANKED = 100_000
 
 
 @dataclass
@@ -45,15 +49,29 @@ class Runs:
         for column, value in zip((self.size, self.rank, self.count, self.to, self.each, self.offset), (size, rank, count, to, each, offset)):
             column.append(value)
 
-    def place(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, histogram: dict[int, int]) -> Places:
+        """The bins of all items of a packed histogram."""
+        return Places(self, histogram)
+
+
+class Places:
+    """Runs in the order of (size, rank), found by an item's number in that order."""
+
+    def __init__(self, runs: Runs, histogram: dict[int, int]):
+        sizes = np.array(sorted(s for s, n in histogram.items() if n > 0), np.int64)
+        self.before = np.zeros(int(sizes[-1]) + 1 if len(sizes) else 1, np.int64)
+        self.before[sizes] = np.append(0, np.cumsum([histogram[s] for s in sizes.tolist()]))[:-1]
+        size, rank = np.array(runs.size, np.int64), np.array(runs.rank, np.int64)
+        start = self.before[size] + rank
+        order = np.argsort(start)
+        self.start, self.rank = start[order], rank[order]
+        self.to, self.each, self.offset = (np.array(x, np.int64)[order] for x in (runs.to, runs.each, runs.offset))
+
+    def find(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bin and offset of items given by size and rank."""
-        a = {k: np.array(getattr(self, k), np.int64) for k in ("size", "rank", "to", "each", "offset")}
-        order = np.lexsort((a["rank"], a["size"]))
-        a = {k: v[order] for k, v in a.items()}
-        # Runs are found by size, then by rank: ranks stay below 2 ** 48 and sizes below 2 ** 15.
-        i = np.searchsorted(a["size"] << 48 | a["rank"], size << 48 | rank, side="right") - 1
-        nth = rank - a["rank"][i]
-        return a["to"][i] + nth // a["each"][i], a["offset"][i] + nth % a["each"][i] * size
+        i = np.searchsorted(self.start, self.before[size] + rank, side="right") - 1
+        nth = rank - self.rank[i]
+        return self.to[i] + nth // self.each[i], self.offset[i] + nth % self.each[i] * size
 
 
 def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
@@ -95,7 +113,9 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
             take(b, n, runs.bins, 1, a)
             opened(runs.bins, n, capacity - a - b)
         runs.bins += n
-        large = [s for s in large if left[s]]
+        for x in {a, b} if i >= 0 else {a}:
+            if not left[x]:
+                del large[bisect_left(large, x)]
 
     for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         while m := left[s]:
@@ -123,39 +143,77 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
     return runs
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _words(text: pa.Array) -> pa.Array:
+    data, offsets = as_bytes(text)
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins[first] = ~space[first]
+    total = np.append(0, np.cumsum(begins))
+    return pa.array(total[offsets[1:]] - total[offsets[:-1]])
+
+
 def words(text: str = "text") -> Column:
-    """The number of words: runs of anything but white space; 0 for null."""
-    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, r"\s+"))).otherwise(0).cast("long")
+    """The number of words: runs of anything but white space (blanks, tabs, line ends); 0 for null."""
+    return F.arrow_udf(_words, "long")(text)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, ranked: int = RANKED) -> DataFrame:
     """(doc_id, part, length, bin_id, offset) for every part of every row of docs.
 
     length: a column of lengths, the number of words by default. A text without any (null, empty,
     blank) takes no place: one row of length 0 with a null bin_id and offset. Of equal lengths,
     rows go in the order of a hash of doc_id, then doc_id, null last; rows that repeat a doc_id are
-    packed each. Other columns are ignored. An empty table gives an empty result.
+    packed each. doc_id may be of any type. Other columns are ignored. An empty table gives an empty result.
     """
-    if not 1 <= capacity < 1 << 15:
-        raise ValueError("capacity must be from 1 to 32767")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     n = F.coalesce((words() if length is None else length).cast("long"), F.lit(0)).alias("n")
     last = F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("long"))
     items = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), n)
+        docs.select("doc_id", n)
         .select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
         .select("doc_id", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("long").alias("length"))
     )
     histogram = {r["length"]: r["n"] for r in items.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = pack(histogram, capacity)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("part")]
-    ranked = numbered(items.where("length > 0"), "rank", F.shiftright(bucket_of(F.col("doc_id")), 6), order, ["length"])
+    places = pack(histogram, capacity).places(histogram)
+    # A length's items are sorted in buckets of about `ranked`; merging neighbouring buckets doesn't change the order.
+    shift = np.zeros(len(places.before), np.int64)
+    for s, count in histogram.items():
+        shift[s] = max(0, (BUCKETS * ranked // count).bit_length() - 1) if count < BUCKETS * ranked else 0
+    shift = np.minimum(shift, BUCKETS.bit_length() - 1)
+
+    @F.pandas_udf("int")
+    def merged(length: pd.Series, bucket: pd.Series) -> pd.Series:
+        return pd.Series(bucket.to_numpy().astype(np.int32) >> shift[length.to_numpy()].astype(np.int32))
 
     @F.pandas_udf("bin_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        to, offset = runs.place(length.to_numpy(), rank.to_numpy())
+        to, offset = places.find(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"bin_id": to, "offset": offset})
 
-    packed = ranked.withColumn("at", place("length", "rank")).select("doc_id", "part", "length", "at.bin_id", "at.offset")
+    # Rows that repeat a doc_id (or its absence) are one row with a count until they have their ranks.
+    same = items.where("length > 0").groupBy("length", "doc_id", "part").agg(F.count(F.lit(1)).alias("m")).withColumn("bucket", merged("length", bucket_of(_number(items))))
+    counts = same.groupBy("length", "bucket").agg(F.sum("m").alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "part")
+    first = F.coalesce(F.sum("m").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = same.withColumn("first", first).join(offsets, ["length", "bucket"]).withColumn("first", F.col("first") + F.col("before"))
+    ranks = runs.where("m = 1").select("doc_id", "part", "length", F.col("first").alias("rank"))
+    many = runs.where("m > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / ranked).cast("long"))))
+    many = many.repartition("length", "doc_id", "part", "piece").withColumn("k", F.explode(F.sequence(F.col("piece") * ranked, F.least(F.col("m"), (F.col("piece") + 1) * ranked) - 1)))
+    ranks = ranks.unionAll(many.select("doc_id", "part", "length", F.col("first") + F.col("k")))
+    packed = ranks.withColumn("at", place("length", "rank")).select("doc_id", "part", "length", "at.bin_id", "at.offset")
     nothing = items.where("length = 0").select("doc_id", "part", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("offset"))
     return packed.unionAll(nothing)
+
+
+def _number(items: DataFrame) -> Column:
+    """doc_id as a whole number: itself, or a hash of another type."""
+    return F.col("doc_id").cast("long") if items.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64("doc_id")
