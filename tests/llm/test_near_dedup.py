@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from thema.llm.near_dedup import components, connected, drop_near_duplicates, near_duplicates, shingles
+from thema.llm.near_dedup import TREES, components, connected, drop_near_duplicates, near_duplicates, shingles, trees_for
 from thema.llm.text import as_bytes, lower, word_hashes
 
 
@@ -87,3 +87,27 @@ def test_connected(spark):
     got = {r.u: r.v for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     for i in range(131):
         assert got.get(i, i) == label[i]
+
+
+def test_trees_follow_from_recall():
+    assert TREES == trees_for(0.99, 0.5, 4) == 8 and trees_for(0.9, 0.5, 4) < 8 < trees_for(0.999, 0.5, 4)
+
+
+def test_hot_groups_leave_by_their_pivot(spark):
+    """Two large groups of near copies, one of exact ones, and nodes far above what a task takes; blocks of pairs are never needed."""
+    r = random.Random(5)
+    base = [[r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(80)] for _ in range(2)]
+    rows = []
+    for i in range(600):
+        words = list(base[i % 2])
+        words[r.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, "one text that very many documents share with each other") for i in range(300)] + [(None, "one text that very many documents share with each other")] * 50
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), memory=50, levels=6).toPandas()
+    assert len(got) == len(rows) and got.kept.sum() == got.group_id.nunique() == 3
+    assert sorted(got.group_id.value_counts().tolist()) == [300, 300, 350]
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b", BASE), ("a", BASE + " end"), ("c", "other text")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.group_id, r.kept) for r in near_duplicates(df).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]

@@ -6,34 +6,49 @@ the child named by the document's minwise token there. Similar documents stay to
 with good probability, others part; repeating the tree makes the probability of missing a pair small. A node of at
 most LEAF documents is compared exhaustively.
 
-The levels run on Spark while nodes are larger than a task handles (MEMORY documents); the subtree of
-a smaller node is searched within one task, where documents that are already known to be connected
-need no more comparisons. A node that LEVELS levels didn't make small holds mostly similar documents;
-it is cut in blocks and all pairs of blocks are searched. Connected components of the pairs found are
-the groups.
+The levels run on Spark while nodes are larger than a task handles (MEMORY documents). A level compares a large node's
+documents with one of them, its pivot, and labels those that are alike by it; a node whose documents all bear one label
+is done, as they are connected already, so large groups of copies leave after a level. The subtree of
+a smaller node is searched within one task in the same way. Connected components of the pairs found are the groups.
+
+A text's identity is its MD5 sum; within the search it goes by a number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
-from .place import free as _free
+from ..storage import drop, scratch, written
+from .place import free, repeated
 from .text import as_bytes, chunks, lower, mix, range_hash, word_hashes
 
+
+def trees_for(recall: float, threshold: float, depth: int) -> int:
+    """Trees after which a pair at the threshold has met in some node at this depth with probability recall: a node hands a pair on by each of its
+    1 / threshold positions with probability threshold."""
+    branches, p = max(1, round(1 / threshold)), 1.0
+    for _ in range(depth):
+        p = 1 - (1 - threshold * p) ** branches
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+
+
 K = 3
 THRESHOLD = 0.5
 MINHASHES = 256
-TREES = 8
+#: Probability that a pair at the threshold meets, and the depth it is asked for.
+RECALL, DEPTH = 0.99, 4
+TREES = trees_for(RECALL, THRESHOLD, DEPTH)
 LEAF = 128
 MEMORY = 20_000
-#: Levels on Spark after which a node that is still larger is cut in blocks, and every pair of blocks searched.
-LEVELS = 3
+#: Levels on Spark after which what is still larger than MEMORY (documents that share LEVELS chosen tokens without being like their pivots) is cut
+#: in blocks, and every pair of blocks searched.
+LEVELS = 24
 #: Depth of a subtree within a task from which nodes are compared exhaustively, whatever their size.
 DEEPEST = 12
 
@@ -80,7 +95,7 @@ def _signatures(k: int, roots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(lower(batch["text"]))
-            keys = batch["key"].to_numpy()
+            keys = batch["ident"]
             for a, b in chunks(offsets):
                 words, rows = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 grams, first = shingles(words, rows, k)
@@ -92,10 +107,10 @@ def _signatures(k: int, roots: int):
                 nodes = child(np.zeros((len(own), roots)), np.broadcast_to(at, (len(own), roots)), m[:, at]).view(np.int64)
                 short = ((m * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[a:b][own]),
+                    keys.slice(a, b - a).take(pa.array(own)),
                     pa.array([r.tobytes() for r in short], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, len(own) * roots + 1, roots, dtype=np.int32), nodes.ravel()),
-                ], names=["key", "sig", "nodes"])
+                ], names=["ident", "sig", "nodes"])
 
     return run
 
@@ -227,31 +242,35 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), MINHASHES)
 
 
-def _branch(branches: int):
+def _branch(branches: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Labels what is like its node's pivot by the pivot, and sends each document to the node's children."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, key = batch["node"].to_numpy().view(np.uint64), batch["key"].to_numpy()
+            node, key, label = batch["node"].to_numpy().view(np.uint64), batch["key"].to_numpy(), batch["label"].to_numpy()
             sig = _matrix(batch["sig"])
+            like = (sig == _matrix(batch["pivot_sig"])).sum(axis=1) >= threshold * MINHASHES
+            label = np.where(like, batch["pivot"].to_numpy(), label)
             at = positions(node, branches)
             new = child(np.repeat(node[:, None], branches, axis=1), at, np.take_along_axis(sig, at, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), pa.array(np.repeat(key, branches))], names=["node", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), pa.array(np.repeat(key, branches)), pa.array(np.repeat(label, branches))], names=["node", "key", "label"])
 
     return run
 
 
 def _block_pairs(rows: DataFrame, memory: int) -> DataFrame:
-    """(node, key) of nodes for all pairs of blocks of rows(node, key, n)."""
+    """(node, key, label) of nodes for all pairs of blocks of rows(node, key, label, n)."""
     blocks = F.ceil(F.col("n") / memory)
     own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "node"), "blocks"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return own.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key")
+    return own.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key", "label")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(u, v): for every end of an edge (u, v) but the least of its component that least one. Stars are
-    joined to larger ones and to smaller ones in turn until nothing changes; every round is a written table."""
+    joined to larger ones and to smaller ones in turn until nothing changes; every round is a written table, and the one before is deleted.
+    Least neighbours are partial aggregates, so a hub's edges meet in a join only, where adaptive execution splits them."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
@@ -260,52 +279,76 @@ def connected(edges: DataFrame) -> DataFrame:
     before, now = None, state(edges)
     while now != before and now[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = down.select("u", F.col("m").alias("v")).unionAll(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = written(small.distinct())
+        old, edges = edges, written(small.distinct())
+        drop(old)
         before, now = now, state(edges)
     return edges
 
 
-def near_pairs(docs: DataFrame, text: str = "text", k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:
-    """(u, v): pairs of texts' 64-bit hashes that connect near duplicates."""
+def signed(docs: DataFrame, text: str, k: int, roots: int) -> DataFrame:
+    """(ident, sig, nodes, key) of all different texts that have words, written: MD5 sum, minwise tokens, nodes below the trees' roots, and a number."""
+    own = docs.where(F.col(text).isNotNull()).select(_ident(text).alias("ident"), F.col(text).alias("text"))
+    own = own.mapInArrow(_signatures(k, roots), "ident binary, sig binary, nodes array<long>").dropDuplicates(["ident"])
+    return written(own.withColumn("key", F.monotonically_increasing_id()))
+
+
+def near_pairs(table: DataFrame, threshold: float, leaf: int, memory: int, levels: int) -> DataFrame:
+    """(u, v): numbers of texts of the table of signed() that connect near duplicates."""
     branches = max(1, round(1 / threshold))
-    roots = trees * branches
-    if roots > MINHASHES:
-        raise ValueError("too many trees")
-    own = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    table = written(own.mapInArrow(_signatures(k, roots), "key long, sig binary, nodes array<long>").dropDuplicates(["key"]))
-    rows = table.select(F.explode("nodes").alias("node"), "key")
+    rows = table.select(F.explode("nodes").alias("node"), "key", F.lit(-1).cast("long").alias("label"))
     sigs = table.select("key", "sig")
     edges = None
     for level in range(levels + 1):
-        large = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > memory))
+        # Nodes whose documents bear one label are done; a label of -1 is none.
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        done = (F.col("low") == F.col("high")) & (F.col("low") >= 0)
+        special = written(stats.where(done | (F.col("n") > memory)).select("node", "n", done.alias("done")))
+        large = special.where("NOT done")
         some = not large.isEmpty()
-        small = rows.join(large, "node", "left_anti") if some else rows
+        small = rows.join(special, "node", "left_anti") if some or level else rows
         if some and level == levels:
             small = small.unionAll(_block_pairs(rows.join(large, "node"), memory))
         nodes = small.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
         nodes = nodes.groupBy("keys").agg(F.min("node").alias("node"))  # trees often agree on a node's documents
         members = nodes.select("node", F.explode("keys").alias("key")).join(sigs, "key")
-        found = members.repartition("node").sortWithinPartitions("node").select("node", "key", "sig").mapInArrow(_compare(threshold, leaf), "u long, v long")
+        found = members.repartition("node").sortWithinPartitions("node", "sig").select("node", "key", "sig").mapInArrow(_compare(threshold, leaf), "u long, v long")
         edges = found if edges is None else edges.unionAll(found)
         if not some or level == levels:
             break
-        rows = written(rows.join(large, "node", "left_semi").join(sigs, "key").select("node", "key", "sig").mapInArrow(_branch(branches), "node long, key long").distinct())
+        own = rows.join(large.select("node"), "node").join(sigs, "key").select("node", "key", "label", "sig")
+        pivots = own.groupBy("node").agg(F.min_by(F.struct("key", "sig"), F.xxhash64("sig", "node")).alias("p")).select("node", F.col("p.key").alias("pivot"), F.col("p.sig").alias("pivot_sig"))
+        rows = written(own.join(pivots, "node").mapInArrow(_branch(branches, threshold), "node long, key long, label long").distinct())
+        edges = edges.unionAll(rows.where("label >= 0 AND label <> key").select(F.col("key").alias("u"), F.col("label").alias("v")).distinct())
     return edges
 
 
-def _has_words(text: str) -> F.Column:
+def _ident(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
+def _has_words(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """(key, comp, doc_id) for every row of docs that has words."""
-    roots = connected(near_pairs(docs, text, **options)).withColumnsRenamed({"u": "key", "v": "root"})
-    keys = docs.where(_has_words(text)).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"))
-    return keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("comp"), "doc_id")
+def _grouped(docs: DataFrame, doc_id: str, text: str, k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:
+    """(ident, doc_id, m, comp, best, n) for every different pair of text and doc_id of docs with words: how many rows hold it, its group, the
+    group's first pair and number of rows."""
+    roots = trees * max(1, round(1 / threshold))
+    if roots > MINHASHES:
+        raise ValueError("too many trees")
+    with scratch(docs.sparkSession) as s:
+        table = signed(docs, text, k, roots)
+        ends = connected(near_pairs(table, threshold, leaf, memory, levels)).withColumnsRenamed({"u": "key", "v": "root"})
+        comps = s.keep(written(table.select("ident", "key").join(ends, "key", "left").select("ident", F.coalesce("root", "key").alias("comp"))))
+    rows = docs.where(_has_words(text)).groupBy(_ident(text).alias("ident"), F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.join(comps, "ident")
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ident")
+    best = rows.groupBy("comp").agg(F.min(pair).alias("best"), F.sum("m").alias("n"))
+    return rows.join(best, "comp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -314,23 +357,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Exact copies belong to a group too. A text without words (null, empty, signs only) is a group of
     its own and kept. Texts of fewer words than K are alike only if their words are the same. A null doc_id
-    is larger than any other; of rows that repeat a doc_id and a text one is kept. An empty table
-    gives an empty result; other columns are ignored. options: see near_pairs.
+    is larger than any other; of rows that repeat a doc_id and a text one is kept. doc_id may be of any type. An empty table
+    gives an empty result; other columns are ignored. options: k, threshold, trees (see trees_for), leaf, memory, levels.
     """
-    same = Window.partitionBy("comp").orderBy(F.col("doc_id").asc_nulls_last())
-    out = _grouped(docs, doc_id, text, **options).select("doc_id", F.first("doc_id").over(same).alias("group_id"), (F.row_number().over(same) == 1).alias("kept"))
-    alone = docs.where(~_has_words(text)).select(F.col(doc_id).cast("long").alias("doc_id"))
+    rows = repeated(_grouped(docs, doc_id, text, **options), "m", ["ident", "doc_id"])
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("ident") == F.col("best.ident")) & (F.col("copy") == 0)
+    out = rows.select("doc_id", F.col("best.doc_id").alias("group_id"), first.alias("kept"))
+    alone = docs.where(~_has_words(text)).select(F.col(doc_id).alias("doc_id"))
     return out.unionAll(alone.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that near_duplicates() keeps."""
-    key, kept, nth = (_free(docs, x) for x in ("key", "kept", "nth"))
-    same = Window.partitionBy("comp")
-    rows = _grouped(docs, doc_id, text, **options)
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("best", F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())) == 1)
-    several = rows.where("n > 1").groupBy(F.col("key").alias(key)).agg(F.max("best").alias(kept))
-    own = docs.where(_has_words(text)).withColumn(key, F.xxhash64(text)).join(several, key, "left").where(F.coalesce(F.col(kept), F.lit(True)))
-    first = Window.partitionBy(key).orderBy(F.col(doc_id).asc_nulls_last())
-    own = own.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
-    return own.select(docs.columns).unionAll(docs.where(~_has_words(text)))
+    ident, kept, many = (free(docs, x) for x in ("ident", "kept", "many"))
+    rows = _grouped(docs, doc_id, text, **options).where("n > 1")
+    several = written(rows.groupBy(F.col("ident").alias(ident)).agg(F.max(F.col("ident") == F.col("best.ident")).alias(kept), (F.sum("m") > 1).alias(many)))
+    own = docs.where(_has_words(text)).withColumn(ident, _ident(text)).join(several, ident, "left")
+    out = own.where(F.coalesce(F.col(kept) & ~F.col(many), F.lit(True))).select(docs.columns)
+    if not several.where(F.col(kept) & F.col(many)).isEmpty():  # of rows that repeat a text the first stays
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        copies = own.where(F.col(kept) & F.col(many)).groupBy(ident).agg(F.min_by(row, F.struct(F.col(doc_id).isNull(), F.col(doc_id))).alias(kept))
+        out = out.unionAll(copies.select(*[F.col(kept).getField(c).alias(c) for c in docs.columns]))
+    return out.unionAll(docs.where(~_has_words(text)))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .place import repeated
 from .sharding import BUCKETS, bucket_of
 from .text import as_bytes
 
@@ -206,9 +207,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | N
     first = F.coalesce(F.sum("m").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = same.withColumn("first", first).join(offsets, ["length", "bucket"]).withColumn("first", F.col("first") + F.col("before"))
     ranks = runs.where("m = 1").select("doc_id", "part", "length", F.col("first").alias("rank"))
-    many = runs.where("m > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / ranked).cast("long"))))
-    many = many.repartition("length", "doc_id", "part", "piece").withColumn("k", F.explode(F.sequence(F.col("piece") * ranked, F.least(F.col("m"), (F.col("piece") + 1) * ranked) - 1)))
-    ranks = ranks.unionAll(many.select("doc_id", "part", "length", F.col("first") + F.col("k")))
+    many = repeated(runs.where("m > 1"), "m", ["length", "doc_id", "part"], ranked)
+    ranks = ranks.unionAll(many.select("doc_id", "part", "length", F.col("first") + F.col("copy")))
     packed = ranks.withColumn("at", place("length", "rank")).select("doc_id", "part", "length", "at.bin_id", "at.offset")
     nothing = items.where("length = 0").select("doc_id", "part", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("offset"))
     return packed.unionAll(nothing)

@@ -34,3 +34,13 @@ def placed(docs: DataFrame) -> tuple[DataFrame, str, str]:
 def block(file: str, row: str, rows: int) -> Column:
     """The source of a row: runs of `rows` consecutive rows of a file share one. Different sources share a number by chance only."""
     return F.xxhash64(F.col(file), F.floor(F.col(row) / rows))
+
+
+def repeated(df: DataFrame, times: str, keys: list[str], piece: int = 100_000) -> DataFrame:
+    """Each row as often as its column `times` says, with the copy's number in "copy"; a row repeated very often is
+    spread over tasks by keys (those that tell rows apart)."""
+    last = F.floor((F.col(times) - 1) / piece).cast("long")
+    few = df.where(F.col(times) <= piece).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    many = df.where(F.col(times) > piece).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(*keys, "_piece")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("_piece") * piece, F.least(F.col(times), (F.col("_piece") + 1) * piece) - 1)))
+    return few.unionAll(many.drop("_piece"))
