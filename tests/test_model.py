@@ -110,7 +110,7 @@ def test_online(corpus):
     a.fit_online(chunks, 1.0, 0.5, asynchronous=True)
     docs = [b.encode(c) for c in chunks]
     first, second = b._pass(docs[0]), b._pass(docs[1])
-    rho = [(1.0 + i) ** -0.5 for i in range(3)]
+    rho = [(1.0 + i) ** -0.5 for i in range(1, 4)]
     b._update((1 - rho[0]) * b.m.nwt + rho[0] * first[0], first[1])
     third = b._pass(docs[2])
     b._update((1 - rho[1]) * b.m.nwt + rho[1] * second[0], second[1])
@@ -216,13 +216,22 @@ def test_config_round_trip(corpus):
 def test_command_line(spark, tmp_path, corpus):
     (tmp_path / "c.vw").write_text("".join(f"d{i} a{i % 3}:2 b{i % 2} c |@tag t{i % 2}\n" for i in range(20)))
     out = lambda n: f"{tmp_path}/{n}"
-    args = f"-c {out('c.vw')} -t obj:3;bg -p 3 --use-modality @default_class:1;@tag:5 --save-dictionary {out('dict')} --save-model {out('model')} --save-model-readable {out('readable')} --write-predictions {out('theta')} --predict-class @tag --write-class-predictions {out('cls')} --write-scores {out('scores')} --write-cooc-tf {out('cooc')} --write-ppmi-tf {out('ppmi')} --write-vw-corpus {out('vw')} --save-batches {out('batches')}"
+    args = f"-c {out('c.vw')} -t obj:3;bg -p 3 --use-modality @default_class:1;@tag:5 --save-dictionary {out('dict')} --save-model {out('model')} --save-model-readable {out('readable')} --write-predictions {out('theta')} --predict-class @tag --write-class-predictions {out('cls')} --write-scores {out('scores')} --write-cooc-tf {out('cooc')} --write-ppmi-tf {out('ppmi')} --score Perplexity --score ClassPrecision --final-score SparsityPhi --write-vw-corpus {out('vw')} --save-batches {out('batches')}"
     model = cli.main([*args.split(), "--regularizer", "0.1 SparsePhi #obj"], spark)
     assert model.topics == ["obj_0", "obj_1", "obj_2", "bg"] and len(model.history) == 3
     theta = spark.read.option("header", True).csv(out("theta"), sep=";")
     assert theta.columns[:2] == ["id", "title"] and theta.count() == 20
     assert spark.read.option("header", True).csv(out("cls"), sep=";").count() == 20
     assert spark.read.parquet(out("dict")).count() == 8 and spark.read.text(out("cooc")).count() > 3
+    assert model.history[0]["Perplexity"]["value"] == pytest.approx(model.history[0]["perplexity"]) and model.history[-1]["SparsityPhi"]["total_tokens"] > 0
+    lines = {r.value.split(" ")[0]: r.value for r in spark.read.text(out("cooc")).collect()}
+    assert not any("t0" in x or "t1" in x for x in lines.values()) and "b0:" in lines["a0"]  # a title's one tag meets no token of another modality
+    assert cli.main(["--use-batches", out("batches"), "-t", "2", "-p", "1"], spark).updates == 1
+    with pytest.raises(SystemExit):
+        cli.main(["-c", out("c.vw"), "-t", "2", "-p", "1", "--regularizer", "1 ImproveCoherence"], spark)
+    plain = cli.main(["-c", out("c.vw"), "-t", "2", "-p", "1"], spark)
+    coherent = cli.main(["-c", out("c.vw"), "-t", "2", "-p", "1", "--read-cooc", out("cooc"), "--regularizer", "1000 ImproveCoherence"], spark)
+    assert not np.allclose(plain.m.pwt, coherent.m.pwt)
     online = cli.main(["-c", out("vw"), "-t", "2", "-p", "1", "--update-every", "5"], spark)
     assert online.updates == 4
     assert cli.main(["-c", out("c.vw")], spark) is None
@@ -247,3 +256,129 @@ def test_relational_theta_of_items_without_known_tokens(spark, corpus):
     other = spark.createDataFrame([(1, DEFAULT_CLASS, "?", 1.0)], "item_id long, class_id string, token string, weight double")
     theta = estep.theta_pass(other, phi, estep.uniform_theta(other, ["topic_0", "topic_1"]))
     assert [r.value for r in theta.collect()] == [0.5, 0.5]
+
+
+def test_online_weights_by_hand(corpus):
+    """rho_i = (tau0 + i) ** -kappa, i from 1 over the model's online updates; offline passes don't count."""
+    ndw, d = corpus
+    model = TopicModel(2, d).fit_offline(ndw, 2)
+    before = model.m.nwt.copy()
+    one = model._pass(model.encode(ndw))[0]
+    model.fit_online([ndw], tau0=1.0, kappa=0.5)
+    rho = 2**-0.5
+    assert np.allclose(model.m.nwt, (1 - rho) * before + rho * one) and model.online_updates == 1 and model.updates == 3
+    before = model.m.nwt.copy()
+    one = model._pass(model.encode(ndw))[0]
+    model.fit_online([ndw], tau0=1.0, kappa=0.5)
+    assert np.allclose(model.m.nwt, (1 - 3**-0.5) * before + 3**-0.5 * one)
+
+
+def test_batch_weights_reach_the_model(corpus):
+    """n_wt of a source counts times its weight; Theta doesn't feel it."""
+    from thema.sources.vectorizer import union_sources
+
+    ndw, d = corpus
+    a, b = ndw.where("item_id % 2 = 0"), ndw.where("item_id % 2 = 1")
+    both, first, second = (TopicModel(2, d) for _ in range(3))
+    weighted = both._pass(both.encode(union_sources([(a, 1.0), (b, 0.25)])))[0]
+    assert np.allclose(weighted, first._pass(first.encode(a))[0] + 0.25 * second._pass(second.encode(b))[0])
+    same = union_sources([(a, 1.0), (a, 3.0)])
+    assert np.allclose(both._pass(both.encode(same))[0], 4 * first._pass(first.encode(a))[0])
+
+
+def test_partial_sums_in_a_tree(corpus, monkeypatch):
+    import thema.plans.model as module
+
+    ndw, d = corpus
+    want = TopicModel(2, d).fit_offline(ndw, 1)
+    monkeypatch.setattr(module, "FAN", 2)
+    got = TopicModel(2, d)
+    got.fit_offline(got.encode(ndw).repartition(7), 1)
+    assert np.allclose(got.m.nwt, want.m.nwt) and got.history[0]["perplexity"] == pytest.approx(want.history[0]["perplexity"])
+
+
+def test_cumulative_scores(spark, corpus):
+    from thema.operators.cumulative import ClassPrecision, CumulativeScore, Perplexity, SparsityTheta, ThetaSnippet
+
+    class Words(CumulativeScore):
+        def append(self, state, ids, batch, phi, theta):
+            return self.merge(state, {"words": float(batch.weight.sum())})
+
+    ndw, d = corpus
+    tags = ndw.select("item_id").distinct().select("item_id", F.lit("@tag").alias("class_id"), F.lit("t").alias("token"), F.lit(1.0).alias("weight"))
+    both = ndw.unionByName(tags)
+    scores = {"all": Perplexity(), "own": Perplexity([DEFAULT_CLASS]), "tag": ClassPrecision("@tag"), "theta": SparsityTheta(), "some": ThetaSnippet(item_ids=[3]), "words": Words()}
+    model = TopicModel(3, D.gather(both), scores=scores).fit_offline(both, 1)
+    h = model.history[0]
+    assert h["all"]["value"] == pytest.approx(h["perplexity"]) and h["own"]["value"] > h["all"]["value"]
+    assert h["tag"] == {"error": 0, "total": 60, "value": 1.0} and h["theta"]["value"] == h["sparsity_theta"] and list(h["some"]) == [3]
+    assert h["words"]["words"] == both.agg(F.sum("weight")).first()[0] and model.get_score("words") == h["words"]
+
+
+def test_reshaped_tokens_count_with_phi_one(corpus):
+    ndw, d = corpus
+    some = d.where("df >= 10")
+    model = TopicModel(2, some, document_passes=3).fit_offline(ndw, 1)
+    theta = {r.item_id: np.array(r.theta) for r in model.transform(ndw).collect()}
+    model.reshape_tokens(d)
+    again = {r.item_id: np.array(r.theta) for r in model.transform(ndw).collect()}
+    assert all(np.allclose(theta[i], again[i]) for i in theta)
+    nwt = model._pass(model.encode(ndw))[0]
+    i = int(np.flatnonzero(model._fresh)[0])
+    rows = ndw.where((F.col("token") == model.m.tokens[i])).collect()
+    assert np.allclose(nwt[i], sum(r.weight * theta[r.item_id] for r in rows))
+    model.fit_offline(ndw, 1)
+    assert model._fresh is None and model.m.pwt[i].any()
+
+
+def test_process_accumulates(corpus):
+    ndw, d = corpus
+    model = TopicModel(2, d)
+    model.process(ndw)
+    once = model.m.nwt.copy()
+    model.process(ndw, reset_nwt=False)
+    assert np.allclose(model.m.nwt, 2 * once)
+    model.normalize()
+    model.attach("pwt")[0, 0] = 0.5
+    assert model.m.pwt[0, 0] == 0.5
+    model.dispose()
+    assert model.m.tokens.size == 0
+
+
+def test_saved_models_go_on(spark, corpus, tmp_path):
+    """Regularizers, scores, Theta, parents and kinds of models come back."""
+    from thema.operators.cumulative import Perplexity
+
+    ndw, d = corpus
+    regs = {"r": SmoothSparsePhi(-0.5, dictionary={(DEFAULT_CLASS, "a"): 2.0}), "t": SmoothSparseTheta(-0.1, alpha_iter=[1.0, 0.5]), "c": ImproveCoherencePhi(0.1, cooc={(DEFAULT_CLASS, "a", "b"): 1.0})}
+    model = TopicModel(2, d, regularizers=regs, scores={"p": Perplexity(), "top": TopTokens(3)}, reuse_theta=True).fit_offline(ndw, 1)
+    model.save(spark, f"{tmp_path}/m")
+    again = TopicModel.load(spark, f"{tmp_path}/m")
+    assert again.regularizers == model.regularizers and again.scores == model.scores
+    for m in (model, again):
+        m.fit_offline(ndw, 1)
+    assert np.allclose(model.m.pwt, again.m.pwt) and again.history[-1]["p"] == model.history[-1]["p"]
+    Lda(2, d, alpha=0.3).fit_offline(ndw, 1).save(spark, f"{tmp_path}/lda")
+    assert isinstance(TopicModel.load(spark, f"{tmp_path}/lda"), Lda) and TopicModel.load(spark, f"{tmp_path}/lda").alpha == 0.3
+    h = Hierarchy()
+    h.add_level(TopicModel(2, d))
+    h.add_level(TopicModel(3, d, seed=1))
+    h.fit_offline(ndw, 1).save(spark, f"{tmp_path}/h")
+    assert np.allclose(Hierarchy.load(spark, f"{tmp_path}/h").get_psi(1), h.get_psi(1))
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path, corpus):
+    """A new process (a new model) takes up the state, and ends as one that never stopped."""
+    from thema.streaming.online import learn
+
+    ndw, d = corpus
+    whole = TopicModel(2, d)
+    for i in range(4):
+        part = ndw.where(f"item_id % 4 = {i}").coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        whole.fit_online([part], 1.0, 0.5)
+        if i % 2:
+            model = TopicModel(2, d)
+            stream = spark.readStream.schema(ndw.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+            learn(stream, model, lambda b: b, f"{tmp_path}/check", 1.0, 0.5).trigger(availableNow=True).start().awaitTermination()
+    assert model.online_updates == 4 and np.allclose(model.m.nwt.sum(), whole.m.nwt.sum()) and len(list((tmp_path / "check" / "model").iterdir())) == 2

@@ -143,3 +143,25 @@ def test_filter_bounds(spark):
     assert abs(sum(r.value for r in D.filtered(d, min_tf=2, recalculate_value=True).collect()) - 1) < 1e-12
     pairs = spark.createDataFrame([("@a", "p", "@a", "s", 1.0), ("@a", "q", "@a", "s", 2.0)], "class_u string, u string, class_v string, v string, value double")
     assert [r.value for r in D.filter_cooc(pairs, D.filtered(d, min_df=2)).collect()] == [2.0]
+
+
+def test_batches_of_lines_with_gaps_and_names(spark, tmp_path):
+    """Line numbers of far splits don't run out of batch names."""
+    docs = spark.createDataFrame([(i + (40 << 33) * (i > 4), f"d{i}") for i in range(10)], "item_id long, title string")
+    writers.write_batches(docs, f"{tmp_path}/code", 3)
+    got = {r.title: r.batch_id for r in writers.read_batches(spark, f"{tmp_path}/code").collect()}
+    assert got == {f"d{i}": f"aaaaa{'abcd'[i // 3]}" for i in range(10)}
+    writers.write_batches(docs, f"{tmp_path}/guid", 5, names="guid")
+    ids = {r.batch_id for r in writers.read_batches(spark, f"{tmp_path}/guid").collect()}
+    assert len(ids) == 2 and all(len(x) == 36 and x.count("-") == 4 for x in ids)
+
+
+def test_cooc_triples(spark):
+    cooc = spark.createDataFrame([("a", "b", 2.5)], "u string, v string, value double")
+    vocab = spark.createDataFrame([(0, "a"), (7, "b")], "word_id long, token string")
+    assert [r.value for r in writers.cooc_triples(cooc, vocab).collect()] == ["0 7 2.5"]
+
+
+def test_header_behind_many_comments(spark, tmp_path):
+    (tmp_path / "m.mm").write_text("%%MatrixMarket\n" + "% c\n" * 2500 + "2 3 2\n1 1 5\n2 3 1\n")
+    assert sorted((r.item_id, r.token, r.weight) for r in uci.read_docword(spark, f"{tmp_path}/m.mm").collect()) == [(1, "0", 5.0), (2, "2", 1.0)]

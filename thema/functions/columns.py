@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..schema import TINY
 
 
-def ascii_words(text: Column | str) -> Column:
-    """The lower-cased runs of ASCII letters of a text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
-
-
 def words(text: Column | str) -> Column:
     """The lower-cased runs of letters and digits of any script, and underscores, of a text, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
@@ -43,30 +38,6 @@ def weight_of(element: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("bad token weight: "), element)).cast("double")).otherwise(F.when(at > 0, number).otherwise(1.0))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def scaled(a: Column, c: Column | float) -> Column:
-    c = c if isinstance(c, Column) else F.lit(c)
-    return F.transform(a, lambda x: x * c)
-
-
-def plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def normalized(a: Column) -> Column:
-    """Negatives as zero, divided by the sum; all zeros without a positive sum; tiny values as zero."""
-    positive = F.transform(a, lambda x: F.greatest(x, F.lit(0.0)))
-    s = total(positive)
-    return F.transform(positive, lambda x: F.when((s > 0) & (x / s >= TINY), x / s).otherwise(0.0))
-
-
 def transformed(x: Column, kind: str = "constant", a: float = 1.0, n: float = 1.0) -> Column:
     """constant: 1; logarithm: ln x; polynomial: a * x ** n; the last two 0 where x isn't positive."""
     if kind == "constant":

@@ -1,7 +1,8 @@
 """The E-step on encoded documents: NumPy over whole batches of documents, under a Phi that a task holds.
 
 A batch is flat: idx (rows of Phi, -1 for unknown tokens), weight, and start, where each document's tokens
-begin. Sums by document are segment sums, so no loop runs over documents or tokens.
+begin. Sums by document are segment sums; only bags of words without agents are taken one document at a time, as their rows of Phi
+then stay in the processor's cache.
 """
 
 from __future__ import annotations
@@ -83,13 +84,15 @@ def _inner(f: np.ndarray, weight: np.ndarray, theta: np.ndarray, passes: int) ->
     return theta
 
 
-def plain(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int, agents: list | None = None) -> Counters:
+def plain(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int, agents: list | None = None, fresh: np.ndarray | None = None) -> Counters:
     """Bag-of-words documents. Agents add r to the new, not yet normalized Theta in every pass. A document without known
-    tokens keeps its Theta."""
+    tokens keeps its Theta. fresh: rows that Phi lacks (zeros there), which count with Phi = 1 at the end."""
     known = batch.idx >= 0
     doc, weight, f = batch.doc_of[known], batch.weight[known], phi[batch.idx[known]]
     start = np.append(0, np.cumsum(np.bincount(doc, minlength=batch.docs)))
     has = np.diff(start) > 0
+    if fresh is not None:
+        has &= segment_sums((~fresh[batch.idx[known]]).astype(float), start) > 0
     theta = theta.copy()
 
     def ratio() -> np.ndarray:
@@ -103,6 +106,8 @@ def plain(batch: Batch, phi: np.ndarray, theta: np.ndarray, passes: int, agents:
         n_td = theta * segment_sums(f * ratio()[:, None], start)
         r = sum((a(n_td, batch.titles, i) for a in agents), np.zeros_like(n_td))
         theta[has] = normalize_rows(n_td + r)[has]
+    if fresh is not None:
+        f[fresh[batch.idx[known]]] = 1.0
     part = f * theta[doc] * (ratio() * batch.scale[doc])[:, None]
     return Counters(*_by_row(batch.idx[known], part), theta)
 

@@ -19,8 +19,9 @@ def normalize(nwt: DataFrame, rwt: DataFrame | None = None) -> DataFrame:
     if rwt is not None:
         m = m.join(rwt.select(*KEY, F.col("value").alias("r")), KEY, "left").select(*KEY, (F.col("value") + F.coalesce("r", F.lit(0.0))).alias("value"))
     m = m.withColumn("value", F.greatest("value", F.lit(0.0)))
-    s = F.sum("value").over(Window.partitionBy("class_id", "topic"))
-    return m.select(*KEY, flushed(F.when(s > 0, F.col("value") / s).otherwise(0.0)).alias("value"))
+    # Sums are partial aggregates, and few: adaptive execution sends them to the rows, as it knows their size.
+    sums = m.groupBy("class_id", "topic").agg(F.sum("value").alias("s"))
+    return m.join(sums, ["class_id", "topic"]).select(*KEY, flushed(F.when(F.col("s") > 0, F.col("value") / F.col("s")).otherwise(0.0)).alias("value"))
 
 
 def merge(sources: list[tuple[DataFrame, float]], topics: list[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:

@@ -38,7 +38,6 @@ class SmoothSparseTheta(ThetaRegularizer):
     kind: str = "constant"
     a: float = 1.0
     n: float = 1.0
-    _by_title: dict = field(default_factory=dict, repr=False)
 
     def __call__(self, n_td: np.ndarray, titles: list[str], i: int) -> np.ndarray:
         alpha = self.alpha_iter[i] if self.alpha_iter and i < len(self.alpha_iter) else 0.0 if self.alpha_iter else 1.0

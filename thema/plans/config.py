@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions.options import number_or_rate
-from ..operators import model_scores, phi_regularizers, theta_regularizers
+from ..operators import cumulative, model_scores, phi_regularizers, theta_regularizers
 from .model import TopicModel
 
 REGULARIZERS = {
@@ -20,6 +21,7 @@ REGULARIZERS = {
     for name in names
 }
 SCORES = {name: getattr(model_scores, name) for name in ("TopTokens", "SparsityPhi", "TopicKernel", "TopicMassPhi", "BackgroundTokensRatio")}
+SCORES |= {name: getattr(cumulative, name) for name in ("Perplexity", "SparsityTheta", "ClassPrecision", "ThetaSnippet", "ItemsProcessed")}
 #: Short names: class, and the sign of tau.
 SHORT = {
     "SmoothPhi": ("SmoothSparsePhi", 1), "SparsePhi": ("SmoothSparsePhi", -1), "SmoothTheta": ("SmoothSparseTheta", 1), "SparseTheta": ("SmoothSparseTheta", -1), "Decorrelation": ("DecorrelatorPhi", 1),
@@ -86,3 +88,32 @@ def dictionary_bounds(min_df: str | None, max_df: str | None) -> dict[str, float
             absolute, rate = number_or_rate(text)
             out |= {name: absolute} if rate is None else {f"{name}_rate": rate}
     return out
+
+
+def encoded(named: dict[str, object]) -> dict[str, dict]:
+    """Regularizers or scores as JSON: type and fields, arrays as lists, dicts as lists of pairs. What isn't one of REGULARIZERS or SCORES is left out."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {"pairs": [[plain(k), plain(v)] for k, v in x.items()]}
+        if isinstance(x, np.ndarray):
+            return {"array": x.tolist()}
+        if isinstance(x, tuple):
+            return {"tuple": [plain(v) for v in x]}
+        return [plain(v) for v in x] if isinstance(x, list) else x.item() if isinstance(x, np.generic) else x
+
+    known = REGULARIZERS | SCORES
+    return {k: {"type": type(r).__name__} | {f.name: plain(getattr(r, f.name)) for f in fields(r) if f.init} for k, r in named.items() if is_dataclass(r) and known.get(type(r).__name__) is type(r)}
+
+
+def decoded(named: dict[str, dict]) -> dict[str, object]:
+    """The inverse of encoded()."""
+
+    def made(x):
+        if isinstance(x, dict):
+            kind, v = next(iter(x.items()))
+            return {made(k): made(w) for k, w in v} if kind == "pairs" else np.array(v) if kind == "array" else tuple(map(made, v))
+        return [made(v) for v in x] if isinstance(x, list) else x
+
+    known = REGULARIZERS | SCORES
+    return {k: known[r["type"]](**{n: made(v) for n, v in r.items() if n != "type" and not n.startswith("_")}) for k, r in named.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_words, words
+from ..functions.columns import words
 from ..schema import DEFAULT_CLASS
 from ..storage import spread
 
@@ -18,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokens(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = ascii_words) -> DataFrame:
+def tokens(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = words) -> DataFrame:
     """(item_id, class_id, token), a row for each occurrence; split gives a text's tokens."""
     c = F.lit(class_id) if isinstance(class_id, str) else class_id
     own = spread(docs.select(F.col(item_id).alias("item_id"), c.alias("class_id"), "text"))
     return own.select("item_id", "class_id", F.explode(split("text")).alias("token"))
 
 
-def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = ascii_words) -> DataFrame:
+def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split: Callable[[str], Column] = words) -> DataFrame:
     """(item_id, class_id, token, weight)."""
     return tokens(docs, item_id, class_id, split).groupBy("item_id", "class_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
@@ -33,7 +33,7 @@ def bow(docs: DataFrame, item_id: str = "doc_id", class_id=DEFAULT_CLASS, split:
 def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, tokens), an item for each turn."""
     own = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("item_id"), "text"))
-    return own.select("item_id", ascii_words("text").alias("tokens"))
+    return own.select("item_id", words("text").alias("tokens"))
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:

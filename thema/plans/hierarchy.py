@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import folders
 from .model import TopicModel
 
 
@@ -57,6 +58,17 @@ class Hierarchy:
         """p(topic of the level | topic of the one above)."""
         return self.levels[level].psi()
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Each level as a model of its own."""
+        for i, m in enumerate(self.levels):
+            m.save(spark, f"{path}/level={i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Hierarchy:
+        out = cls()
+        out.levels = [TopicModel.load(spark, f"{path}/level={i}") for i in range(len(folders(spark, path)))]
+        return out
+
     def clone(self) -> Hierarchy:
         out = Hierarchy()
         out.levels = [m.clone() for m in self.levels]

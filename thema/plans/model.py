@@ -16,23 +16,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rng import random_row
+from ..functions.rng import random_row, random_rows
 from ..operators import estep, matrix
+from ..operators.cumulative import CumulativeScore
 from ..operators.kernel import Batch, likelihood_sums, occurrences, plain, transaction_sums, transactions
 from ..operators.phi_regularizers import PhiRegularizer, total
 from ..operators.rank import token_numbers
 from ..operators.theta_regularizers import HierarchySparsingTheta, PtdwRegularizer, ThetaRegularizer, TopicSelectionTheta
 from ..operators.weights import weighted
-from ..schema import DEFAULT_TRANSACTION, EPS, TINY
-from ..storage import drop_path, shared_dir, written
+from ..schema import DEFAULT_TRANSACTION, DOCUMENTS_CLASS, EPS, TINY
+from ..storage import drop, drop_path, exists, shared_dir, written
 
 #: Bytes that Phi may take in the driver and in each task.
 MODEL_BYTES = 256 << 20
 #: Rows of n_wt in a block.
 BLOCK_ROWS = 4096
+#: Partial sums of a block that one group adds up.
+FAN = 64
 #: Documents that the kernel takes at once.
 BATCH_DOCS = 64
 
@@ -70,13 +74,16 @@ def random_matrix(classes: np.ndarray, tokens: np.ndarray, topics: int, seed: in
     if tf is not None and dense_rate < 1 and zero_rate > 0:
         order = np.lexsort((tokens, -tf))
         dense[order[int(dense_rate * len(tokens)) :]] = False
-    rows = [random_row(c, t, topics, seed, 0.0 if d else zero_rate) for c, t, d in zip(classes, tokens, dense)]
-    return normalized(classes, np.array(rows).reshape(len(tokens), topics))
+    rows = random_rows(classes, tokens, topics, seed)
+    for i in np.flatnonzero(~dense):
+        rows[i] = random_row(classes[i], tokens[i], topics, seed, zero_rate)
+    return normalized(classes, rows)
 
 
 def encode(ndw: DataFrame, vocab: DataFrame, class_weights: dict[str, float] | None = None, type_weights: dict[str, float] | None = None) -> DataFrame:
-    """(item_id, title, idx, weight, tx, tx_weight), a row for each item, written once: ndw joined with vocab(token_idx, class_id,
-    token), tokens in order of pos (or of their indices), unknown ones -1. ndw may have title, pos, tx_id and tt_name."""
+    """(item_id, title, idx, weight, tx, tx_weight, typed, scale), a row for each item, written once: ndw joined with vocab(token_idx, class_id,
+    token), tokens in order of pos (or of their indices), unknown ones -1. ndw may have title, pos, tx_id and tt_name, and batch_weight, the
+    weight of the item's source: items of one id but different weights are different items."""
     have = set(ndw.columns)
     own = weighted(ndw, class_weights)
     own = own.withColumn("title", F.coalesce("title", F.col("item_id").cast("string")) if "title" in have else F.col("item_id").cast("string"))
@@ -86,10 +93,11 @@ def encode(ndw: DataFrame, vocab: DataFrame, class_weights: dict[str, float] | N
     pos = F.col("pos") if "pos" in have else F.col("idx")
     tx = F.col("tx_id") if "tx_id" in have else F.lit(0)
     x = F.struct(pos.cast("int").alias("pos"), "idx", F.col("weight").cast("double").alias("w"), tx.cast("int").alias("tx"), "tx_weight")
-    docs = joined.groupBy("item_id", "title").agg(F.array_sort(F.collect_list(x)).alias("x"), F.max((F.col("tt_name") != DEFAULT_TRANSACTION)).alias("typed"))
+    joined = joined.withColumn("scale", F.col("batch_weight").cast("double") if "batch_weight" in have else F.lit(1.0))
+    docs = joined.groupBy("item_id", "title", "scale").agg(F.array_sort(F.collect_list(x)).alias("x"), F.max((F.col("tt_name") != DEFAULT_TRANSACTION)).alias("typed"))
     spark = ndw.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return written(docs.repartition(parts, "item_id").select("item_id", "title", F.col("x.idx").alias("idx"), F.col("x.w").alias("weight"), F.col("x.tx").alias("tx"), F.col("x.tx_weight").alias("tx_weight"), "typed"))
+    return written(docs.repartition(parts, "item_id").select("item_id", "title", F.col("x.idx").alias("idx"), F.col("x.w").alias("weight"), F.col("x.tx").alias("tx"), F.col("x.tx_weight").alias("tx_weight"), "typed", "scale"))
 
 
 @dataclass
@@ -102,6 +110,9 @@ class Pass:
     unigram: np.ndarray | None = None
     sequences: bool = False
     want: str = "nwt"
+    #: Rows that Phi lacks as yet: they play no part in Theta, and count with Phi = 1.
+    fresh: np.ndarray | None = None
+    cumulative: dict[str, CumulativeScore] = field(default_factory=dict)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], topics: int, previous: bool):
@@ -113,7 +124,7 @@ def _batches(batches: Iterator[pa.RecordBatch], topics: int, previous: bool):
             sizes = np.array([len(x) for x in lists], np.int64)
             flat = lambda name, kind: np.asarray(b[name].flatten().to_numpy(zero_copy_only=False), kind)
             titles = b["title"].to_pylist()
-            scale = b["scale"].to_numpy() if "scale" in b.schema.names else np.ones(len(titles))
+            scale = b["scale"].to_numpy()
             typed = bool(np.any(b["typed"].to_numpy(zero_copy_only=False)))
             batch = Batch(flat("idx", np.int64), flat("weight", float), np.append(0, np.cumsum(sizes)), titles, scale, flat("tx", np.int64), flat("tx_weight", float))
             theta = np.full((len(titles), topics), 1.0 / topics)
@@ -131,57 +142,77 @@ def _run(batch: Batch, phi: np.ndarray, theta: np.ndarray, typed: bool, plan: Pa
     elif plan.sequences or plan.editors:
         counters, p = occurrences(batch, phi, theta, plan.passes, plan.agents, plan.editors)
     else:
-        counters = plain(batch, phi, theta, plan.passes, plan.agents)
+        counters = plain(batch, phi, theta, plan.passes, plan.agents, plan.fresh)
     return counters, p
 
 
 def e_step(docs: DataFrame, phi: np.ndarray, plan: Pass) -> tuple[np.ndarray, dict[str, float]]:
-    """n_wt and the sums of all documents."""
+    """n_wt and the sums of all documents. As many tasks as two for each core at most, so that the partial sums don't grow with the corpus;
+    they are added up in a tree of FAN each."""
     rows, topics = phi.shape
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.coalesce(tasks)
     sent = docs.sparkSession.sparkContext.broadcast(phi)
     previous = "theta" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = None, {}
-        for _, batch, theta, typed in _batches(batches, topics, previous):
+        own, sums, states = None, {}, {k: c.start() for k, c in plan.cumulative.items()}
+        for ids, batch, theta, typed in _batches(batches, topics, previous):
             counters, p = _run(batch, sent.value, theta, typed, plan)
             own = np.zeros((rows, topics)) if own is None else own
             own[counters.rows] += counters.nwt
+            if plan.fresh is not None:
+                batch.idx = np.where((batch.idx >= 0) & plan.fresh[batch.idx], -1, batch.idx)
             got = transaction_sums(batch, p, counters.theta) if typed else likelihood_sums(batch, sent.value, counters.theta, plan.unigram)
+            for k, c in plan.cumulative.items():
+                states[k] = c.append(states[k], ids.to_pylist(), batch, sent.value, counters.theta)
             for k, v in got.items():
                 sums[k] = sums.get(k, 0.0) + v
         if own is not None:
-            blocks = [(-1, b"", json.dumps(sums))]
+            slot = TaskContext.get().partitionId()
+            blocks = [(slot, -1, b"", json.dumps({"sums": sums, "states": states}))]
             for i in range(0, rows, BLOCK_ROWS):
                 part = own[i : i + BLOCK_ROWS]
                 at = np.flatnonzero(part.any(axis=1))  # of rare tokens most partitions have none
                 if len(at):
-                    blocks.append((i // BLOCK_ROWS, at.astype(np.int32).tobytes() + part[at].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.binary(), pa.string()))], names=["block", "data", "sums"])
+                    blocks.append((slot, i // BLOCK_ROWS, at.astype(np.int32).tobytes() + part[at].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.binary(), pa.string()))], names=["slot", "block", "data", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["block"].iloc[0] < 0:
-            sums: dict[str, float] = {}
-            for s in sorted(pdf["sums"]):
-                for k, v in json.loads(s).items():
+        pdf = pdf.sort_values("slot")
+        slot, block = int(pdf["slot"].iloc[0]) // FAN, int(pdf["block"].iloc[0])
+        if block < 0:
+            sums, states = {}, {k: c.start() for k, c in plan.cumulative.items()}
+            for x in map(json.loads, pdf["sums"]):
+                for k, v in x["sums"].items():
                     sums[k] = sums.get(k, 0.0) + v
-            return pd.DataFrame({"block": [-1], "data": [b""], "sums": [json.dumps(sums)]})
-        data = np.zeros((min(BLOCK_ROWS, rows - int(pdf["block"].iloc[0]) * BLOCK_ROWS), topics))
-        for x in sorted(pdf["data"]):
+                for k, c in plan.cumulative.items():
+                    states[k] = c.merge(states[k], x["states"][k])
+            return pd.DataFrame({"slot": [slot], "block": [-1], "data": [b""], "sums": [json.dumps({"sums": sums, "states": states})]})
+        data = np.zeros((min(BLOCK_ROWS, rows - block * BLOCK_ROWS), topics))
+        for x in pdf["data"]:
             n = len(x) // (4 + 8 * topics)
             data[np.frombuffer(x, np.int32, n)] += np.frombuffer(x, np.uint8, offset=4 * n).view(np.float64).reshape(n, topics)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [data.tobytes()], "sums": [None]})
-
-    schema = "block int, data binary, sums string"
-    parts = docs.mapInArrow(run, schema).groupBy("block").applyInPandas(add, schema).collect()
+        at = np.flatnonzero(data.any(axis=1))
+        return pd.DataFrame({"slot": [slot], "block": [block], "data": [at.astype(np.int32).tobytes() + data[at].tobytes()], "sums": [None]})
+
+    schema = "slot int, block int, data binary, sums string"
+    parts = docs.mapInArrow(run, schema)
+    while True:
+        parts = parts.groupBy("block", F.expr(f"slot div {FAN}")).applyInPandas(add, schema)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    parts = parts.collect()
     sent.unpersist()
     nwt, sums = np.zeros((rows, topics)), {}
     for r in parts:
         if r["block"] < 0:
-            sums = json.loads(r["sums"])
+            got = json.loads(r["sums"])
+            sums = got["sums"] | {"states": got["states"]}
         else:
-            part = np.frombuffer(r["data"]).reshape(-1, topics)
-            nwt[r["block"] * BLOCK_ROWS : r["block"] * BLOCK_ROWS + len(part)] = part
+            n = len(r["data"]) // (4 + 8 * topics)
+            nwt[r["block"] * BLOCK_ROWS + np.frombuffer(r["data"], np.int32, n)] = np.frombuffer(r["data"], np.uint8, offset=4 * n).view(np.float64).reshape(n, topics)
     return nwt, sums
 
 
@@ -231,9 +262,10 @@ class TopicModel:
         self.regularizers, self.scores = dict(regularizers or {}), dict(scores or {})
         self.reuse_theta, self.collection_unigram = reuse_theta, collection_unigram
         self.history: list[dict] = []
-        self.updates = 0
+        self.updates = self.online_updates = 0
         self._theta: DataFrame | None = None
         self._parents: list[tuple[list, np.ndarray, float]] = []
+        self._fresh: np.ndarray | None = None
         self.initialize(dictionary, dense_rate, zero_rate)
 
     # -- vocabulary and matrices
@@ -258,7 +290,8 @@ class TopicModel:
     def _plan(self, **options) -> Pass:
         agents = [r for r in self.regularizers.values() if isinstance(r, ThetaRegularizer) and not isinstance(r, HierarchySparsingTheta)]
         editors = [r for r in self.regularizers.values() if isinstance(r, PtdwRegularizer)]
-        return Pass(self.document_passes, agents, editors, self.value if self.collection_unigram else None, **options)
+        cumulative = {k: s.prepared(self.m) for k, s in self.scores.items() if isinstance(s, CumulativeScore)}
+        return Pass(self.document_passes, agents, editors, self.value if self.collection_unigram else None, fresh=self._fresh, cumulative=cumulative, **options)
 
     def _started(self, docs: DataFrame) -> DataFrame:
         if not self.reuse_theta or self._theta is None:
@@ -282,7 +315,7 @@ class TopicModel:
         return nwt, sums
 
     def _update(self, nwt: np.ndarray, sums: dict[str, float]) -> None:
-        self.m.nwt = nwt
+        self.m.nwt, self._fresh = nwt, None
         regs = [r for r in self.regularizers.values() if isinstance(r, PhiRegularizer)]
         self.m.pwt = normalized(self.m.classes, nwt, total(regs, self.m) if regs else None)
         self.updates += 1
@@ -290,7 +323,9 @@ class TopicModel:
         if sums.get("normalizer"):
             row |= {"perplexity": float(np.exp(-sums["raw"] / sums["normalizer"])), "sparsity_theta": sums["zero_topics"] / max(1.0, sums["total_topics"]), "zero_words": int(sums["zero_words"]),
                     "items": int(sums["items"]), "token_weight": sums["token_weight"], "token_weight_in_effect": sums["token_weight_in_effect"]}
-        self.history.append(row | {name: f(self.m) for name, f in self.scores.items()})
+        states = sums.get("states", {})
+        row |= {name: f.value(states[name]) for name, f in self.scores.items() if isinstance(f, CumulativeScore) and name in states}
+        self.history.append(row | {name: f(self.m) for name, f in self.scores.items() if not isinstance(f, CumulativeScore)})
 
     # -- fitting
 
@@ -303,13 +338,14 @@ class TopicModel:
         return self
 
     def fit_online(self, chunks: list[DataFrame], tau0: float = 1024.0, kappa: float = 0.7, apply: list[float] | None = None, decay: list[float] | None = None, asynchronous: bool = False) -> TopicModel:
-        """An update after each chunk: n = decay * n + apply * n_hat; by default apply = rho = (tau0 + updates) ** -kappa, decay = 1 - rho.
-        asynchronous: chunk i+1 is processed under the Phi from before update i."""
+        """An update after each chunk: n = decay * n + apply * n_hat; by default apply = rho = (tau0 + i) ** -kappa for the model's i-th online update,
+        from 1, and decay = 1 - rho. asynchronous: chunk i+1 is processed under the Phi from before update i."""
         docs = [self.encode(c) for c in chunks]
         waiting: list[tuple[np.ndarray, dict]] = []
 
         def merge(i: int, got: tuple[np.ndarray, dict]) -> None:
-            rho = (tau0 + self.updates) ** -kappa
+            self.online_updates += 1
+            rho = (tau0 + self.online_updates) ** -kappa
             a, d = apply[i] if apply else rho, decay[i] if decay else 1 - rho
             self._update(d * self.m.nwt + a * got[0], got[1])
 
@@ -321,6 +357,16 @@ class TopicModel:
             merge(len(docs) - 1, got)
         return self
 
+    def process(self, ndw: DataFrame, reset_nwt: bool = True) -> dict[str, float]:
+        """The E-step alone: n_wt anew, or added to what there is; Phi stays. Gives the sums of the documents."""
+        nwt, sums = self._pass(self.encode(ndw))
+        self.m.nwt = nwt if reset_nwt else self.m.nwt + nwt
+        return sums
+
+    def normalize(self) -> None:
+        """The M-step alone: Phi from n_wt, with the regularizers."""
+        self._update(self.m.nwt, {})
+
     def transform(self, ndw: DataFrame, want: str = "theta") -> DataFrame:
         """Theta of documents; want ptdw or ptx: shares of each occurrence, p(x|d) of each transaction."""
         return infer(self._started(self.encode(ndw)), self.m.pwt, self._plan(want=want, sequences=want == "ptdw"))
@@ -396,12 +442,16 @@ class TopicModel:
         self.topics = self.m.topics = list(topics)
 
     def reshape_tokens(self, dictionary: DataFrame) -> None:
-        """Tokens of a new dictionary: those known keep their counts, new ones start at random."""
+        """Tokens of a new dictionary: those known keep their counts and Phi; n_wt of new ones starts at random, and Phi gets them with the next
+        update, up to which they play no part in Theta and count as if Phi were 1."""
         before, at = self.m, self.m.row_of
         self.initialize(dictionary)
+        self._fresh = np.ones(len(self.m.tokens), bool)
+        self.m.pwt[:] = 0.0
         for i, k in enumerate(zip(self.m.classes.tolist(), self.m.tokens.tolist())):
             if k in at:
                 self.m.pwt[i], self.m.nwt[i] = before.pwt[at[k]], before.nwt[at[k]]
+                self._fresh[i] = False
 
     def clone(self) -> TopicModel:
         out = copy.copy(self)
@@ -435,22 +485,48 @@ class TopicModel:
 
     def get_score(self, name: str):
         """A score of the last pass, or of the model now if it needs no documents."""
-        return self.scores[name](self.m) if name in self.scores else self.history[-1][name]
+        own = self.scores.get(name)
+        return self.history[-1][name] if own is None or isinstance(own, CumulativeScore) else own(self.m)
 
     @property
     def score_tracker(self) -> dict[str, list]:
         """By score, its values of all passes that have it."""
         return {k: [h[k] for h in self.history if k in h] for k in sorted({k for h in self.history for k in h})}
 
+    def theta_matrix(self) -> DataFrame:
+        """The kept Theta as a matrix (class_id, token, topic, value) with titles as tokens of DOCUMENTS_CLASS."""
+        return self.get_theta().select(F.lit(DOCUMENTS_CLASS).alias("class_id"), F.col("title").alias("token"), "topic", "value")
+
     def remove_theta(self) -> None:
         self._theta = None
 
+    def attach(self, name: str = "nwt") -> np.ndarray:
+        """The matrix itself, not a copy: what is changed in it is changed in the model."""
+        return getattr(self.m, name)
+
+    def dispose(self) -> None:
+        """Drops matrices, Theta, scores and regularizers, and deletes the vocabulary's table; the model can't be used any more."""
+        drop(self.vocab)
+        self.m, self._theta, self._parents, self._fresh = Matrices(np.zeros(0, object), np.zeros(0, object), self.topics, np.zeros((0, len(self.topics))), np.zeros((0, len(self.topics)))), None, [], None
+        self.regularizers, self.scores, self.history = {}, {}, []
+
+    def clear_scores(self) -> None:
+        """Forgets the scores of past passes."""
+        self.history = []
+
     def info(self) -> dict:
         return {"topics": self.topics, "tokens": len(self.m.tokens), "classes": sorted(set(self.m.classes)), "regularizers": sorted(self.regularizers), "scores": sorted(self.scores), "updates": self.updates, "seed": self.seed}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Both matrices and the dictionary as Parquet, settings and history as JSON; refuses to overwrite."""
-        head = {"topics": self.topics, "class_weights": self.class_weights, "type_weights": self.type_weights, "document_passes": self.document_passes, "seed": self.seed, "updates": self.updates, "history": self.history, "version": 1}
+        """Both matrices, the dictionary and a kept Theta as Parquet; settings, regularizers, scores, parents and history as JSON; refuses to
+        overwrite. Scores that are functions of the user's own can't be saved and are left out."""
+        from .config import encoded
+
+        head = {
+            "kind": type(self).__name__, "topics": self.topics, "class_weights": self.class_weights, "type_weights": self.type_weights, "document_passes": self.document_passes, "seed": self.seed, "updates": self.updates,
+            "online_updates": self.online_updates, "history": self.history, "reuse_theta": self.reuse_theta, "collection_unigram": self.collection_unigram, "regularizers": encoded(self.regularizers), "scores": encoded(self.scores),
+            "parents": [[names, rows.tolist(), weight] for names, rows, weight in self._parents], "fresh": None if self._fresh is None else self._fresh.tolist(), "extra": {k: getattr(self, k) for k in ("alpha", "beta") if hasattr(self, k)}, "version": 2,
+        }
         rows, text = pa.list_(pa.float64()), pa.string()
         wide = pa.table({
             "token_idx": np.arange(len(self.m.tokens)), "class_id": pa.array(self.m.classes, text), "token": pa.array(self.m.tokens, text), "value": self.value,
@@ -458,16 +534,26 @@ class TopicModel:
         })
         spark.createDataFrame(wide).write.parquet(f"{path}/matrices")
         spark.createDataFrame([(json.dumps(head, default=str),)], "value string").coalesce(1).write.text(f"{path}/settings")
+        if self._theta is not None:
+            self._theta.write.parquet(f"{path}/theta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
         head = json.loads(spark.read.text(f"{path}/settings").first()["value"])
-        if head["version"] > 1:
+        if head["version"] > 2:
             raise ValueError("written by a newer version")
-        out = cls.__new__(cls)
-        out.topics, out.history, out.updates = head["topics"], head["history"], head["updates"]
+        from . import config, lda
+
+        out = (lda.Lda if head.get("kind") == "Lda" else cls).__new__(lda.Lda if head.get("kind") == "Lda" else cls)
+        out.topics, out.history, out.updates, out.online_updates = head["topics"], head["history"], head["updates"], head.get("online_updates", 0)
         out.class_weights, out.type_weights, out.document_passes, out.seed = head["class_weights"], head["type_weights"], head["document_passes"], head["seed"]
-        out.regularizers, out.scores, out.reuse_theta, out.collection_unigram, out._theta, out._parents = {}, {}, False, False, None, []
+        out.regularizers, out.scores = config.decoded(head.get("regularizers", {})), config.decoded(head.get("scores", {}))
+        out.reuse_theta, out.collection_unigram = head.get("reuse_theta", False), head.get("collection_unigram", False)
+        out._theta = spark.read.parquet(f"{path}/theta") if exists(spark, f"{path}/theta") else None
+        out._parents = [(names, np.array(rows), weight) for names, rows, weight in head.get("parents", [])]
+        out._fresh = None if head.get("fresh") is None else np.array(head["fresh"], bool)
+        for k, v in head.get("extra", {}).items():
+            setattr(out, k, v)
         saved = spark.read.parquet(f"{path}/matrices")
         got = saved.orderBy("token_idx").toPandas()
         out.vocab, out.value = saved.select("token_idx", "class_id", "token", "value"), got["value"].to_numpy(float)

@@ -22,22 +22,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+#: Words of all scripts, in both engines.
+WORD = r"[\p{L}\p{N}_]+"
 # Common table expressions of the SQL.
-TOK = "tok AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)"
+TOK = "tok AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM documents)"
 BOW = f"{TOK}, bow AS (SELECT item_id, token, CAST(count(*) AS DOUBLE) AS weight FROM tok GROUP BY ALL)"
 DICT = f"{BOW}, dict AS (SELECT token, tf / sum(tf) OVER () AS value, tf, df FROM (SELECT token, sum(weight) AS tf, CAST(count(*) AS DOUBLE) AS df FROM bow GROUP BY token))"
 CODE = "((ascii(token) * 31 + length(token) * 7 + ascii(reverse(token)) * 13 + topic * 17) % 97)"
 GRID = f"{DICT}, topics AS (SELECT unnest(range({TOPICS})) AS topic)"
 PHI = f"{GRID}, w AS (SELECT token, topic, CASE WHEN {CODE} < 20 THEN 0.0 ELSE CAST({CODE} AS DOUBLE) END AS value FROM dict, topics), phi AS (SELECT token, topic, value / sum(value) OVER (PARTITION BY topic) AS value FROM w)"
 NWT = f"{PHI}, nwt AS (SELECT token, topic, tf * ((ascii(token) * 5 + topic * 3) % 11) AS value FROM dict, topics)"
-CONV = """conv AS (SELECT conv_id * 100000 + turn AS item_id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '[a-z]+') AS toks FROM conversations),
+CONV = """conv AS (SELECT conv_id * 100000 + turn AS item_id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '<word>') AS toks FROM conversations),
 pos AS (SELECT item_id, rid, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM conv),
 pairs AS (SELECT a.item_id, a.token AS u, b.token AS v FROM pos a JOIN pos b ON a.rid = b.rid AND b.p BETWEEN a.p + 1 AND a.p + 5),
 both_ways AS (SELECT item_id, u, v FROM pairs UNION ALL SELECT item_id, v, u FROM pairs),
 cooc AS (SELECT u, v, count(*) AS tf, count(DISTINCT item_id) AS df FROM both_ways GROUP BY u, v)"""
-# The same over documents, with words of all scripts; neighbours are joined by position, as documents are long.
-WORD = r"[\p{L}\p{N}_]+"
-WORDS_NWT = NWT.replace("[a-z]+", WORD)
+# The same over documents; neighbours are joined by position, as documents are long.
 DOCS = f"""docs AS (SELECT doc_id AS item_id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '{WORD}') AS toks FROM documents),
 pos AS (SELECT item_id, rid, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM docs),
 near AS (SELECT *, unnest(range(1, 6)) AS k FROM pos),
@@ -55,7 +55,7 @@ def _query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = sql.replace("<word>", WORD)
         return f
 
     return add
@@ -143,7 +143,7 @@ def dictionary_gather(spark, d):
     return _dict(spark, d).select("token", F.round("value", 12).alias("value"), "tf", "df")
 
 
-@_query("""WITH b AS (SELECT lang AS class_id, token, doc_id, count(*) AS w FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY ALL)
+@_query("""WITH b AS (SELECT lang AS class_id, token, doc_id, count(*) AS w FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM documents) GROUP BY ALL)
 SELECT class_id, token, round(tf / sum(tf) OVER (PARTITION BY class_id), 12) AS value, tf, df FROM (SELECT class_id, token, CAST(sum(w) AS DOUBLE) AS tf, CAST(count(*) AS DOUBLE) AS df FROM b GROUP BY ALL)""")
 def dictionary_by_lang(spark, d):
     return _rounded12(D.gather(bow(table(spark, d, "documents"), class_id=F.col("lang"))))
@@ -153,7 +153,7 @@ def _rounded12(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 12))
 
 
-@_query(f"""WITH {DICT}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark)
+@_query(f"""WITH {DICT}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark)
 SELECT token, round(coalesce(value, 0), 12) AS value, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df FROM v LEFT JOIN dict USING (token)""")
 def dictionary_with_vocab(spark, d):
     vocab = tokens(table(spark, d, "benchmark"), "item_id").select("class_id", "token").distinct()
@@ -171,7 +171,7 @@ def dictionary_filter_rate(spark, d):
     return D.filtered(_dict(spark, d), min_df_rate=0.01, max_df_rate=0.5, num_items=n).select("token", "tf", "df")
 
 
-@_query("""WITH b AS (SELECT lang AS class_id, token, doc_id, count(*) AS w FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY ALL),
+@_query("""WITH b AS (SELECT lang AS class_id, token, doc_id, count(*) AS w FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM documents) GROUP BY ALL),
 g AS (SELECT class_id, token, CAST(sum(w) AS DOUBLE) AS tf, CAST(count(*) AS DOUBLE) AS df FROM b GROUP BY ALL)
 SELECT class_id, token, tf, df FROM g WHERE class_id <> 'en' OR df >= 10""")
 def dictionary_filter_class(spark, d):
@@ -184,18 +184,18 @@ def dictionary_max_size(spark, d):
     return _rounded12(D.filtered(_dict(spark, d), max_size=500, recalculate_value=True)).select("token", "tf", "df", "value")
 
 
-@_query("""SELECT lang AS class_id, count(DISTINCT token) AS entries, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY lang""")
+@_query("""SELECT lang AS class_id, count(DISTINCT token) AS entries, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM documents) GROUP BY lang""")
 def class_summary(spark, d):
     return D.class_summary(D.gather(bow(table(spark, d, "documents"), class_id=F.col("lang"))))
 
 
-@_query(f"WITH {DICT}, c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM conversations) SELECT token FROM c WHERE token NOT IN (SELECT token FROM dict)")
+@_query(f"WITH {DICT}, c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM conversations) SELECT token FROM c WHERE token NOT IN (SELECT token FROM dict)")
 def tokens_missing(spark, d):
     other = tokens(table(spark, d, "conversations"), "conv_id").select("token").distinct()
     return other.join(_dict(spark, d), "token", "left_anti")
 
 
-@_query(f"WITH {BOW}, c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM conversations) SELECT item_id, sum(weight) AS weight FROM bow WHERE token IN (SELECT token FROM c) GROUP BY item_id")
+@_query(f"WITH {BOW}, c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM conversations) SELECT item_id, sum(weight) AS weight FROM bow WHERE token IN (SELECT token FROM c) GROUP BY item_id")
 def tokens_in_model(spark, d):
     other = tokens(table(spark, d, "conversations"), "conv_id").select("token").distinct()
     return _bow(spark, d).join(other, "token", "left_semi").groupBy("item_id").agg(F.sum("weight").alias("weight"))
@@ -209,8 +209,8 @@ def class_weights(spark, d):
     return weighted(own, {"en": 1.0, "de": 0.5}).select("item_id", "token", "weight")
 
 
-@_query("""WITH b AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token, 1.0 AS batch_weight FROM documents UNION ALL
-SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')), 0.5 FROM benchmark) SELECT token, sum(batch_weight) AS weight FROM b GROUP BY token""")
+@_query("""WITH b AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token, 1.0 AS batch_weight FROM documents UNION ALL
+SELECT item_id, unnest(regexp_extract_all(lower(text), '<word>')), 0.5 FROM benchmark) SELECT token, sum(batch_weight) AS weight FROM b GROUP BY token""")
 def weighted_sources(spark, d):
     from ..sources.vectorizer import union_sources
 
@@ -255,7 +255,7 @@ def ppmi_df(spark, d):
     return _rounded(C.ppmi(C.selected(C.cooccurrence(pairs)), C.marginals(pairs, docs), "df", n), "value")
 
 
-@_query("""WITH b AS (SELECT item_id, token, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY ALL)
+@_query("""WITH b AS (SELECT item_id, token, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark) GROUP BY ALL)
 SELECT a.token AS u, c.token AS v, sum(least(a.w, c.w)) AS value FROM b a JOIN b c ON a.item_id = c.item_id AND a.token < c.token GROUP BY 1, 2""")
 def cooc_min_weight_pairs(spark, d):
     return C.bag_pairs(bow(table(spark, d, "benchmark"), "item_id"))
@@ -286,7 +286,7 @@ def model_merge(spark, d):
     return _rounded(M.merge([(_nwt(spark, d), 0.75), (other, 0.25)]), "value").select("token", "topic", "value")
 
 
-@_query(f"""WITH {NWT}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark)
+@_query(f"""WITH {NWT}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark)
 SELECT v.token, t.topic, coalesce(2.0 * n.value, 0.0) AS value FROM v CROSS JOIN topics t LEFT JOIN nwt n ON n.token = v.token AND n.topic = t.topic""")
 def model_merge_dictionary(spark, d):
     vocab = tokens(table(spark, d, "benchmark"), "item_id").select("class_id", "token").distinct()
@@ -298,7 +298,7 @@ def phi_sparse_coo(spark, d):
     return M.sparse(_phi(spark, d), 1e-5).select("token", "topic", F.round("value", 9).alias("value"))
 
 
-@_query(f"WITH {PHI}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) SELECT token, topic, round(value, 9) AS value FROM phi WHERE topic IN (2, 0) AND token IN (SELECT token FROM v)")
+@_query(f"WITH {PHI}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark) SELECT token, topic, round(value, 9) AS value FROM phi WHERE topic IN (2, 0) AND token IN (SELECT token FROM v)")
 def phi_projection(spark, d):
     vocab = tokens(table(spark, d, "benchmark"), "item_id").select("class_id", "token").distinct()
     return M.project(_phi(spark, d), [2, 0], [DEFAULT_CLASS], vocab).select("token", "topic", F.round("value", 9).alias("value"))
@@ -469,7 +469,7 @@ def score_sparsity_phi(spark, d):
     return S.sparsity_phi(_phi(spark, d), DEFAULT_CLASS)
 
 
-@_query(f"WITH {BOW}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM conversations) SELECT (SELECT count(*) FROM documents) AS num_items, sum(weight) AS token_weight, (SELECT sum(weight) FROM bow WHERE token IN (SELECT token FROM v)) AS token_weight_in_effect FROM bow")
+@_query(f"WITH {BOW}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM conversations) SELECT (SELECT count(*) FROM documents) AS num_items, sum(weight) AS token_weight, (SELECT sum(weight) FROM bow WHERE token IN (SELECT token FROM v)) AS token_weight_in_effect FROM bow")
 def score_items_processed(spark, d):
     vocab = tokens(table(spark, d, "conversations"), "conv_id").select("class_id", "token").distinct()
     return S.items_processed(_bow(spark, d), _items(spark, d), vocab)
@@ -559,7 +559,7 @@ def uci_roundtrip(spark, d):
     return parse_docword(lines, parse_vocab(vocab)).select("item_id", "token", "weight")
 
 
-@_query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY token")
+@_query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark) GROUP BY token")
 def text_to_bow(spark, d):
     from ..sources.text import text_to_counts
 
@@ -598,13 +598,13 @@ def ppmi_df_documents(spark, d):
     return _rounded(C.ppmi(C.selected(C.cooccurrence(pairs)), C.marginals(pairs, docs), "df", n), "value")
 
 
-@_query(f"WITH {WORDS_NWT}, {DOCS} SELECT c.u AS token, n.topic, sum(c.tf * n.value) AS value FROM cooc c JOIN nwt n ON n.token = c.v WHERE c.u <> c.v GROUP BY 1, 2")
+@_query(f"WITH {NWT}, {DOCS} SELECT c.u AS token, n.topic, sum(c.tf * n.value) AS value FROM cooc c JOIN nwt n ON n.token = c.v WHERE c.u <> c.v GROUP BY 1, 2")
 def reg_coherence_documents(spark, d):
     n = start_counters(_doc_dict(spark, d))
     return R.improve_coherence(n, _class_cooc(_doc_cooc(spark, d))).select("token", "topic", "value")
 
 
-@_query(f"""WITH {WORDS_NWT}, {DOCS}, m AS (SELECT topic, sum(value) AS n_t FROM nwt GROUP BY topic), q AS (SELECT c.u, c.v, a.topic, c.tf, m.n_t * a.value * b.value AS q FROM cooc c JOIN phi a ON a.token = c.u JOIN phi b ON b.token = c.v AND b.topic = a.topic JOIN m ON m.topic = a.topic WHERE c.u <> c.v),
+@_query(f"""WITH {NWT}, {DOCS}, m AS (SELECT topic, sum(value) AS n_t FROM nwt GROUP BY topic), q AS (SELECT c.u, c.v, a.topic, c.tf, m.n_t * a.value * b.value AS q FROM cooc c JOIN phi a ON a.token = c.u JOIN phi b ON b.token = c.v AND b.topic = a.topic JOIN m ON m.topic = a.topic WHERE c.u <> c.v),
 s AS (SELECT *, sum(q) OVER (PARTITION BY u, v) AS s FROM q) SELECT u AS token, topic, round(sum(CASE WHEN s > 0 THEN tf * q / s ELSE 0 END), 6) AS value FROM s GROUP BY 1, 2""")
 def reg_biterms_documents(spark, d):
     dictionary = written(_doc_dict(spark, d))
@@ -612,7 +612,7 @@ def reg_biterms_documents(spark, d):
     return _rounded(r, "value").select("token", "topic", "value")
 
 
-@_query(f"""WITH {WORDS_NWT}, {DOCS}, top AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY value DESC, token DESC) AS rank, token FROM nwt WHERE value >= 1e-37 QUALIFY rank <= 10), k AS (SELECT topic, count(*) AS k FROM top GROUP BY topic),
+@_query(f"""WITH {NWT}, {DOCS}, top AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY value DESC, token DESC) AS rank, token FROM nwt WHERE value >= 1e-37 QUALIFY rank <= 10), k AS (SELECT topic, count(*) AS k FROM top GROUP BY topic),
 s AS (SELECT a.topic, sum(c.tf) AS s FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank JOIN cooc c ON c.u = a.token AND c.v = b.token GROUP BY a.topic) SELECT topic, round(2.0 / (k * (k - 1)) * coalesce(s, 0), 6) AS coherence FROM k LEFT JOIN s USING (topic)""")
 def score_coherence_documents(spark, d):
     """Pairs of top tokens alone are counted, as no other pair enters the score."""

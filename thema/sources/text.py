@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_words
+from ..functions.columns import words
 
 
-def text_to_counts(docs: DataFrame, split: Callable[[str], Column] = ascii_words) -> DataFrame:
+def text_to_counts(docs: DataFrame, split: Callable[[str], Column] = words) -> DataFrame:
     """(token, n) over all texts."""
     return docs.select(F.explode(split("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

@@ -34,15 +34,19 @@ def parse_docword(lines: DataFrame, vocab: DataFrame, unity_based: bool = True)
 
 def _head(spark: SparkSession, path: str) -> tuple[list[int], int]:
     """The header's three numbers and how many lines it takes, with comments."""
-    numbers: list[int] = []
-    for i, row in enumerate(spark.read.text(path).head(1000)):
-        if not row["value"].startswith("%"):
-            numbers += [int(x) for x in row["value"].split()]
-        if len(numbers) >= 3:
-            if min(numbers) <= 0:
-                raise ValueError("a header's numbers must be positive")
-            return numbers[:3], i + 1
-    raise ValueError("no header")
+    read, got = 1000, 0
+    while True:  # comments may be long: more lines, until there are three numbers or no more lines
+        lines, numbers = spark.read.text(path).head(read), []
+        for i, row in enumerate(lines):
+            if not row["value"].startswith("%"):
+                numbers += [int(x) for x in row["value"].split()]
+            if len(numbers) >= 3:
+                if min(numbers) <= 0:
+                    raise ValueError("a header's numbers must be positive")
+                return numbers[:3], i + 1
+        if len(lines) == got:
+            raise ValueError("no header")
+        read, got = 10 * read, len(lines)
 
 
 def read_docword(spark: SparkSession, path: str, vocab: DataFrame | None = None, unity_based: bool = True) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import numbered
+
 
 def batch_code(number: F.Column) -> F.Column:
     """A six-letter name: base 26 from aaaaaa; an error beyond zzzzzz."""
@@ -12,9 +16,18 @@ def batch_code(number: F.Column) -> F.Column:
     return F.when(number < 26**6, F.concat(*digits)).otherwise(F.raise_error(F.lit("too many batches")).cast("string"))
 
 
-def write_batches(docs: DataFrame, path: str, size: int = 1000, number: str = "item_id") -> None:
-    """Documents in a folder for each batch of `size` consecutive numbers."""
-    docs.withColumn("batch_id", batch_code(F.floor(F.col(number) / size))).write.partitionBy("batch_id").parquet(path)
+def batch_guid(number: F.Column, salt: str) -> F.Column:
+    """A name in the form of a UUID, from the batch's number and a salt of the collection."""
+    return F.regexp_replace(F.md5(F.concat(F.lit(salt), number.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def write_batches(docs: DataFrame, path: str, size: int = 1000, number: str = "item_id", names: str = "code") -> None:
+    """Documents in a folder for each batch of `size` consecutive ones in the order of `number`, whatever gaps the numbers have.
+    names: "code", six letters in that order, or "guid"."""
+    ids = numbered(docs.select(F.col(number).alias("_id")).distinct(), "_number", F.shiftright("_id", 20), [F.col("_id")])
+    own = docs.join(ids, docs[number] == ids["_id"]).withColumn("_number", F.floor(F.col("_number") / size))
+    name = batch_code(F.col("_number")) if names == "code" else batch_guid(F.col("_number"), uuid.uuid4().hex)
+    own.withColumn("batch_id", name).drop("_id", "_number").repartition("batch_id").write.partitionBy("batch_id").parquet(path)
 
 
 def read_batches(spark, path: str) -> DataFrame:
@@ -68,6 +81,12 @@ def cooc_lines(cooc: DataFrame, value: str) -> DataFrame:
     return cooc.groupBy("u").agg(F.transform(pairs, lambda p: F.concat_ws(":", p["v"], p["x"])).alias("f")).select(F.concat_ws(" ", "u", F.array_join("f", " ")).alias("value"))
 
 
+def cooc_triples(cooc: DataFrame, vocab: DataFrame, value: str = "value") -> DataFrame:
+    """Lines "i j value" of pairs (u, v) with their numbers in vocab(word_id, token)."""
+    u, v = vocab.select(F.col("word_id").alias("i"), F.col("token").alias("u")), vocab.select(F.col("word_id").alias("j"), F.col("token").alias("v"))
+    return cooc.join(u, "u").join(v, "v").select(F.concat_ws(" ", "i", "j", value).alias("value"))
+
+
 def parse_cooc(lines: DataFrame, symmetric: bool = False) -> DataFrame:
     """(class_u, u, class_v, v, value) of lines "[|class] u [|class] v:value ..."; of a repeated pair the first counts; symmetric adds the reverse
     of pairs that lack it."""
