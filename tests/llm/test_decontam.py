@@ -8,10 +8,11 @@ from thema.llm.decontam import Benchmark, drop_contaminated, shared_spans
 from thema.llm.text import as_bytes, lower, word_hashes
 
 
-def brute(docs, items, least):
+def brute(docs, items, k, window):
     out = set()
     for d, a in enumerate(docs):
         for e, b in enumerate(items):
+            least = max(k, min(k + window - 1, len(b)))
             for p in range(len(a)):
                 for q in range(len(b)):
                     if a[p] == b[q] and (p == 0 or q == 0 or a[p - 1] != b[q - 1]):
@@ -34,7 +35,7 @@ def test_all_spans_against_brute_force(seed):
     own = word_hashes(data, offsets)
     b = Benchmark(pa.array([" ".join(x) for x in items]), k, w)
     got = b.spans(*own)
-    assert len(got) == len(set(got)) and set(got) == brute(docs, items, k + w - 1)
+    assert len(got) == len(set(got)) and set(got) == brute(docs, items, k, w)
     assert {x[0] for x in b.spans(*own, one=True)} == {x[0] for x in got}
 
 
@@ -86,3 +87,12 @@ def test_table_against_brute_force(spark, sf_dir):
     bad = {d for d, _ in shared}
     assert sorted(r.doc_id for r in drop_contaminated(docs, items).select("doc_id").collect()) == sorted(set(p.doc_id) - bad)
     assert docs.where(F.col("doc_id").isin(list(bad))).count() == len(bad)
+
+
+def test_short_items_and_ids_of_other_types(spark):
+    """An item of fewer words than the guarantee is found where it stands whole."""
+    short = "alpha beta gamma delta epsilon zeta eta theta iota"
+    docs = spark.createDataFrame([("a", f"some words {short} and more of them to follow here"), ("b", short.rsplit(" ", 1)[0])], "doc_id string, text string")
+    items = spark.createDataFrame([("i", short), ("j", "only seven words are in this one")], "item_id string, text string")
+    assert [tuple(r) for r in shared_spans(docs, items).collect()] == [("a", "i", 2, 0, 9)]
+    assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == ["b"]

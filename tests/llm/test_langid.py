@@ -1,10 +1,12 @@
 import itertools
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from thema.llm.langid import fit, identify, train, viterbi
+from thema.llm.langid import fit, identify, train, viterbi, word_scripts
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -58,3 +60,60 @@ def test_no_languages_and_empty(spark):
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(7, f"word{i}", "en") for i in range(50)] + [(None, "mot", "fr")] * 30, "doc_id long, text string, lang string")
     assert train(df, sample=5).languages == ["en", "fr"]
+
+
+def plain_words(text):
+    return [m.group().decode() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text.encode())]
+
+
+def plain_spans(model, text, penalty=8.0):
+    """Labels of a text's words by plain loops: scripts, sums over trigrams, and Viterbi one word after the other."""
+    names, out = [*model.languages, "und"], []
+    for word in plain_words(text.lower()):
+        script = int(word_scripts(np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64))[0])
+        raw, row = word.encode() + b"\0", [0.0] * len(names)
+        allowed = model.uses[script]
+        for j in range(len(names) - 1):
+            for i in range(len(raw)):
+                two, one = (raw[i - 2] if i > 1 else 0), (raw[i - 1] if i else 0)
+                row[j] += float(model.logs[((raw[i] | one << 8 | two << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16, j])
+            if not allowed[j]:
+                row[j] = -50.0
+        if allowed.any():
+            row[-1] = -50.0
+        out.append([0.0] * (len(names) - 1) + [1e-6] if script == 0 else row)
+    best, back = [0.0] * len(names), []
+    for row in out:
+        top = max(range(len(names)), key=lambda j: best[j])
+        came = [j if best[j] >= best[top] - penalty else top for j in range(len(names))]
+        best = [max(best[j], best[top] - penalty) + row[j] for j in range(len(names))]
+        back.append(came)
+    return out, max(best, default=0.0)
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """op7_language_id over the whole table: every text's labels have the best score that plain loops find, and the language is that of most words."""
+    import __spark_entry__ as entry
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs)
+    names = [*model.languages, "und"]
+    got = {r.doc_id: r for r in entry.queries()["op7_language_id"](spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        scores, best = plain_spans(model, r.text or "")
+        spans = got[r.doc_id].spans
+        labels = [names.index(x["language"]) for x in spans for _ in range(x["first"], x["end"])]
+        assert len(labels) == len(scores) == got[r.doc_id].words and all(a["language"] != b["language"] for a, b in zip(spans, spans[1:]))
+        value = sum(s[j] for s, j in zip(scores, labels)) - 8.0 * (max(1, len(spans)) - 1)
+        assert abs(value - best) < 1e-3 + 1e-6 * abs(best)
+        most = Counter(names[j] for j in labels)
+        assert got[r.doc_id].language == (min(most, key=lambda x: (-most[x], names.index(x))) if most else "und")
+
+
+def test_long_text_and_ids_of_other_types(spark):
+    en, ru, de, model = mixed()
+    df = spark.createDataFrame([("x", (en + " ") * 20_000 + de)], "doc_id string, text string")
+    got = identify(df, model).first()
+    assert got.doc_id == "x" and got.words == 240_012 and [s["language"] for s in got.spans] == ["en", "de"]

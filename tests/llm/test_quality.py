@@ -1,9 +1,14 @@
 import itertools
+import math
+import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from thema.llm.quality import keep_good, line_features, marginals, score_quality, train
+from thema.llm.quality import keep_good, likelihood, line_features, marginals, score_quality, train
 from thema.llm.text import as_bytes
 
 
@@ -38,8 +43,8 @@ def test_features_of_lines():
     assert first.tolist() == [0, 2, 2, 2, 3] and size.tolist() == [10, 12, 1] and x[1, 0] > 0.9 and x[0, 0] < 0.2
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+def test_held_out_accuracy(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{os.path.dirname(sf_dir)}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = score_quality(docs, labels.where("doc_id % 2 = 0")).toPandas().merge(labels.where("doc_id % 2 = 1").toPandas(), on="doc_id", suffixes=("", "_label"))
     good, bad = got[got.quality_label == 1], got[got.quality_label == 0]
     assert good.good.mean() > 0.97 and bad.good.mean() < 0.25
@@ -76,3 +81,82 @@ def test_one_class_or_no_labels(spark):
 def test_sample_is_bounded(spark):
     docs, labels = small(spark)
     assert train(docs, labels, sample=3).weights.shape == train(docs, labels).weights.shape
+
+
+def test_ids_of_other_types(spark):
+    docs, labels = small(spark)
+    text = lambda df: df.withColumn("doc_id", F.concat(F.lit("a-"), F.col("doc_id")))
+    got = {r.doc_id: r.good for r in score_quality(text(docs), text(labels)).collect()}
+    assert got["a-3"] and not got["a-4"]
+
+
+def test_gradient_by_finite_differences():
+    r = np.random.default_rng(4)
+    first = np.array([0, 3, 3, 8, 9])
+    x, y, weight = r.normal(size=(9, 4)), r.integers(0, 2, 9), np.array([0.5, 1.0, 2.0, 3.0])
+    w, trans = r.normal(size=4), r.normal(size=(2, 2))
+    at = lambda v: likelihood(v[:4], v[4:].reshape(2, 2), x, y, first, weight, 0.1)[0]
+    v, h = np.append(w, trans.ravel()), 1e-6
+    _, by_w, by_trans = likelihood(w, trans, x, y, first, weight, 0.1)
+    want = [(at(v + h * e) - at(v - h * e)) / (2 * h) for e in np.eye(8)]
+    assert np.allclose(np.append(by_w, by_trans.ravel()), want, atol=1e-6)
+
+
+def plain_features(text):
+    """Features of one text's lines, by plain loops over its bytes."""
+    lines, digests = [], Counter()
+    for part in text.encode().split(b"\n")[: None if text else 0]:
+        lines.append(part)
+    raw = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines and lines[-1] else [])
+    raw = [x for x in raw if any(chr(c) not in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" or c >= 0x80 for c in x)]
+    digests.update(x.removesuffix(b"\n") for x in raw)
+    out = []
+    for x in raw:
+        n = Counter()
+        for b in x:
+            c = chr(b)
+            n["lead" if b >= 0xC0 else "rest" if b >= 0x80 else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c.isspace() else "stop" if c in ".,;:'\"?-()" else "!" if c == "!" else "code" if c in "<>{}[]|\\/=_" else "other"] += 1
+        size, trimmed = len(x), x.removesuffix(b"\n")
+        chars, tokens = size - n["space"] - n["rest"], n["space"] + 1 - x.endswith(b"\n")
+        letters = n["lower"] + n["upper"] + n["lead"] + 1e-9
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in x))
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        last = (trimmed or x)[-1:]
+        out.append([
+            n["upper"] / letters, n["digit"] / chars, n["stop"] / tokens, n["other"] / tokens, n["lead"] / chars, n["!"] / tokens, n["code"] / tokens, math.log1p(size) / 5, math.log1p(tokens) / 4,
+            min(chars / tokens, 30) / 10, float(last in (b".", b"!", b"?", b'"', b"'", b")")), float(digests[trimmed] > 1), float(tokens < 3), again / max(1, len(words)), min((n["other"] + n["!"] + n["code"]) / chars, 1),
+        ])
+    return out, [len(x) for x in raw]
+
+
+def plain_quality(model, text):
+    own, sizes = plain_features(text or "")
+    if not own:
+        return 0.0
+    none = [0.0] * 15
+    good = [float(np.dot(own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [1.0], model.weights)) for i in range(len(own))]
+    score = [[0.0, g] for g in good]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    t, n = model.trans, len(own)
+    ahead, back = [score[0]], [[0.0, 0.0]]
+    for i in range(1, n):
+        ahead.append([score[i][k] + add(ahead[-1][0] + t[0, k], ahead[-1][1] + t[1, k]) for k in (0, 1)])
+    for i in range(n - 2, -1, -1):
+        back.append([add(t[k, 0] + score[i + 1][0] + back[-1][0], t[k, 1] + score[i + 1][1] + back[-1][1]) for k in (0, 1)])
+    back.reverse()
+    p = [1 / (1 + math.exp(min(700, ahead[i][0] + back[i][0] - ahead[i][1] - back[i][1]))) for i in range(n)]
+    return sum(a * b for a, b in zip(p, sizes)) / sum(sizes)
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """op9_quality over the whole table, row by row against features, forward-backward and weights in plain Python."""
+    import __spark_entry__ as entry
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    got = {r.doc_id: r for r in entry.queries()["op9_quality"](spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        q = plain_quality(model, r.text)
+        assert abs(got[r.doc_id].quality - q) < 1e-6 and (got[r.doc_id].good == (q >= model.threshold) or abs(q - model.threshold) < 1e-6)

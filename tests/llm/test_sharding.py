@@ -41,3 +41,19 @@ def test_write_shards(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/s")
     assert sorted(r.text for r in got.collect()) == sorted(f"t{i}" for i in range(100))
     assert all(r["count"] == 10 for r in got.groupBy("_shard").count().collect())
+
+
+def test_write_shards_keeps_clashing_columns_and_agrees_with_the_assignment(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, f"t{i}", i, -i, 7) for i in range(100)], "doc_id long, text string, _shard int, _slot int, _k int")
+    write_shards(df, f"{tmp_path}/s", shard_rows=10, shards_per_folder=2)
+    got = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted((r.doc_id, r.text, r._shard, r._slot, r._k) for r in got.collect()) == sorted((i % 40, f"t{i}", i, -i, 7) for i in range(100))
+    want = sorted((r.doc_id, r.shard, r.slot) for r in shard_assignment(df, shard_rows=10).collect())
+    assert sorted((r["doc_id"], r["__shard"], r["__slot"]) for r in got.collect()) == want
+    assert len([p for p in (tmp_path / "s").iterdir() if p.is_dir()]) == 5
+
+
+def test_hot_ids_and_ids_of_other_types(spark):
+    df = spark.range(300).selectExpr("if(id % 3 = 0, null, concat('d', id)) AS doc_id")
+    got = shard_assignment(df, shard_rows=16).toPandas()
+    assert sorted(got.row) == list(range(300)) and sorted(got.position) == list(range(300)) and got.doc_id.isna().sum() == 100

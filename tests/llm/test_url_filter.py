@@ -1,3 +1,8 @@
+import math
+import os
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -39,8 +44,61 @@ def test_learns_a_rule_and_a_function():
     assert ((model.probabilities(data, offsets) > 0.5) == label[1500:]).mean() > 0.9
 
 
-def test_held_out_hosts(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("label", block_labels(F.col("url")))
+def plain(url):
+    """Features of one URL by plain string operations."""
+    def entropy(x):
+        n = Counter(x.encode())
+        return -sum(c / sum(n.values()) * math.log2(c / sum(n.values())) for c in n.values())
+
+    url = url.lower()
+    m = re.match("([^:]*)://", url)
+    rest = url[m.end() :] if m else url
+    before, mark, _ = rest.partition("#")
+    address, _, _ = before.partition("?")
+    host, slash, path = address.partition("/")
+    path, query = slash + path, before[len(address) :]
+    share = lambda x, of: sum(c in of for c in x) / max(1, len(x))
+    digits, alnum = "0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+    return [
+        len(url.encode()), len(host), len(path), len(query), path.count("/"), query.count("="), host.count(".") + 1, host.count("-"), share(url, digits), share(host, digits), share(path, digits),
+        entropy(host), entropy(path), 1 - share(url, alnum), max(map(len, host.split("."))), share(host, "aeiou"), float(bool(m) and m.end() == 8), float(bool(mark)), url.count("%"),
+    ], host.rpartition(".")[2]
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """op6_url_filter over the whole table: features, suffix statistics over all labelled URLs, and trees walked one URL at a time."""
+    import __spark_entry__ as entry
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    labelled = pages.select("url", block_labels(pages["url"]).alias("label"))
+    model = train(labelled)
+    got = {r.page_id: r for r in entry.queries()["op6_url_filter"](spark, sf_dir).collect()}
+    urls = {r.url: r.label for r in labelled.collect()}
+    n, bad = Counter(plain(u)[1] for u in urls), Counter(plain(u)[1] for u, x in urls.items() if x)
+    rate = sum(bad.values()) / len(urls)
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x, suffix = plain(r.url)
+        x = [*x, (bad[suffix] + 20 * rate) / (n[suffix] + 20), math.log((n[suffix] + 1) / (len(urls) + 1))]
+        total = model.base
+        for f, c, v in zip(model.feature, model.cut, model.value):
+            node = 0
+            for _ in range(4):
+                node = 2 * node + 1 + (x[f[node]] > c[node] + 1e-12)
+            total += v[node - len(f)]
+        assert abs(got[r.page_id].score - 1 / (1 + math.exp(-total))) < 1e-9 and got[r.page_id].blocked == (got[r.page_id].score >= 0.5)
+
+
+def test_suffixes_count_beyond_the_sample(spark):
+    """Statistics cover all labelled URLs, also those that the trees aren't grown on."""
+    rows = [(f"http://a{i}.org/x", 0) for i in range(50)] + [(f"http://b{i}.bad/x", 1) for i in range(50)] + [("http://c.rare/", 1)]
+    model = train(spark.createDataFrame(rows, "url string, label int"), sample=5)
+    assert len(model.suffixes) == 3 and abs(sum(math.exp(v) for _, v in model.suffixes.values()) - 104 / 102) < 1e-9
+
+
+def test_held_out_hosts(spark, sf_dir):
+    pages = spark.read.parquet(f"{os.path.dirname(sf_dir)}/sf0.1/pages.parquet").withColumn("label", block_labels(F.col("url")))
     host = F.pmod(F.xxhash64(F.regexp_extract("url", "://([^/]+)", 1)), F.lit(3))
     test = pages.where(host == 0)
     got = score_urls(test, train(pages.where(host > 0))).join(test.select("page_id", "label"), "page_id").toPandas()

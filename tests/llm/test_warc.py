@@ -43,3 +43,13 @@ def test_edges(spark):
     path = shared_dir(spark)
     os.makedirs(path.removeprefix("file://"))
     assert write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path) == 0 and read_warc(spark, path).collect() == []
+
+
+def test_query_splits_inside_files(spark, sf_dir):
+    """The query's ranges are several to a file where files are larger than the least range."""
+    path = f"{shared_dir(spark)}"
+    pages = spark.createDataFrame([(i, f"u{i}", os.urandom(4000).hex()) for i in range(300)], "page_id long, url string, html string")
+    assert write_warc(pages.coalesce(1), path) == 300
+    own = read_warc(spark, path)
+    assert own.rdd.getNumPartitions() > 1 and len([f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".gz")]) == 1
+    assert pages_from_warc(own).exceptAll(pages).count() == 0 and own.count() == 300

@@ -4,7 +4,7 @@ Texts are lower-cased word sequences. Of every WINDOW consecutive K-grams (K wor
 the least hash is a fingerprint, so two texts that share K + WINDOW - 1 words in a row share a
 fingerprint. Where a document's fingerprint is one of a benchmark item, the hit is extended word by
 word both ways to the whole shared span. Spans of at least K + WINDOW - 1 words are reported, all of
-them and nothing shorter.
+them and nothing shorter, but for items of fewer words (K at least): those are reported where a document holds them whole.
 
 The benchmark's fingerprints go to the tasks in slices of bounded size; a larger benchmark takes more
 passes over the documents, which are never shuffled.
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .place import free as _free
 from .text import HashTable, as_bytes, chunks, kgrams, lower, word_hashes
@@ -65,6 +66,13 @@ class Benchmark:
         self.hi = np.append(self.lo[1:], len(at))
         self.item, self.word = item[order], (at - first[item] + self.rows[item])[order]
         self.table = HashTable(fp)
+        # Items too short for a window: a document's fingerprints needn't hold theirs, so all its K-grams are looked up.
+        self.short = np.zeros(len(fp), bool)
+        own = np.diff(first)[item] < window
+        self.short[np.searchsorted(fp, grams[at][own])] = True
+        self.any_short = HashTable(fp[self.short])
+        self.of_short = np.flatnonzero(self.short)
+        self.least = np.minimum(k + window - 1, np.diff(self.rows))
 
     def spans(self, words: np.ndarray, rows: np.ndarray, one: bool = False) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word in the row, first word in the item, number of words) of all shared
@@ -73,8 +81,12 @@ class Benchmark:
         at = winnow(grams, first, self.window)
         found = self.table.find(grams[at])
         at, found = at[found >= 0], found[found >= 0]
+        if len(self.of_short):
+            every = self.any_short.find(grams)
+            more = np.flatnonzero(every >= 0)
+            at, i = np.unique(np.concatenate([at, more]), return_index=True)
+            found = np.concatenate([found, self.of_short[every[more]]])[i]
         row = np.searchsorted(first, at, side="right") - 1
-        least = self.k + self.window - 1
         out: list[tuple[int, int, int, int, int]] = []
         done: dict[tuple[int, int, int], int] = {}  # by row, item and diagonal: the end of the last span
         for r, p, f in zip(row.tolist(), (at - first[row] + rows[row]).tolist(), found.tolist()):
@@ -91,48 +103,44 @@ class Benchmark:
                 differ = np.flatnonzero((words[p - behind : p] != self.words[q - behind : q])[::-1])
                 left = int(differ[0]) if len(differ) else behind
                 done[r, i, p - q] = p + right
-                if left + right >= least:
+                if left + right >= self.least[i]:
                     out.append((r, i, p - left - int(rows[r]), q - left - int(self.rows[i]), left + right))
         return out
 
 
-def _slices(benchmark: DataFrame, k: int, window: int, limit: int) -> Iterator[tuple[Benchmark, list[int | None]]]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+def _slices(benchmark: DataFrame, k: int, window: int, limit: int) -> Iterator[tuple[Benchmark, pa.Array]]:
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     for i in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
         got = own.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         if len(got):
-            yield Benchmark(got["text"].combine_chunks(), k, window), got["item_id"].to_pylist()
-
-
-_SPANS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])
-_SPANS_SQL = "doc_id long, item_id long, doc_word long, item_word long, words long"
+            yield Benchmark(got["text"].combine_chunks(), k, window), got["item_id"].combine_chunks()
 
 
 def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, words): every longest span of at least k + window - 1
-    words that a document and a benchmark item share, by its first words' positions and its length.
+    words (of a shorter item's words, k at least) that a document and a benchmark item share, by its first words' positions and its length.
 
     Null and empty texts share nothing. Rows that repeat, of either table, repeat their spans. A null
     doc_id or item_id is carried along. Empty tables give an empty result; other columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    out = docs.sparkSession.createDataFrame([], _SPANS_SQL)
+    own = docs.select("doc_id", "text").where("text IS NOT NULL")
+    schema = StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *[StructField(c, LongType()) for c in ("doc_word", "item_word", "words")]])
+    out = docs.sparkSession.createDataFrame([], schema)
     for items, ids in _slices(benchmark, k, window, slice_bytes):
 
-        def spans(batches: Iterator[pa.RecordBatch], items: Benchmark = items, ids: list = ids) -> Iterator[pa.RecordBatch]:
+        def spans(batches: Iterator[pa.RecordBatch], items: Benchmark = items, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = as_bytes(lower(batch["text"]))
-                doc = batch["doc_id"].to_pylist()
                 for a, b in chunks(offsets):
                     got = items.spans(*word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                     if got:
-                        r, i, p, q, n = zip(*got)
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([doc[a + x] for x in r], [ids[x] for x in i], p, q, n)], schema=_SPANS)
+                        r, i, p, q, n = (np.array(x, np.int64) for x in zip(*got))
+                        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(a + r)), ids.take(pa.array(i)), pa.array(p), pa.array(q), pa.array(n)], names=schema.names)
 
-        out = out.unionAll(own.mapInArrow(spans, _SPANS_SQL))
+        out = out.unionAll(own.mapInArrow(spans, schema))
     return out
 
 

@@ -200,7 +200,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str =
     return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
 
 
-_OUT_SQL = "doc_id long, language string, words long, spans array<struct<first: long, end: long, language: string>>"
+_OUT_SQL = "language string, words long, spans array<struct<first: long, end: long, language: string>>"
 _SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("language", pa.string())])
 
 
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
     A text without words (null, empty, signs only) has no spans, and language "und"; so has one of
     digits only. Rows are
     labelled one by one, so repeated rows repeat their result. A model without languages labels all
-    "und". Other columns, a language column too, are ignored. An empty table gives an empty result.
+    "und". doc_id may be of any type; other columns, a language column too, are ignored. An empty table gives an empty result.
     """
     names = [*model.languages, UNKNOWN]
 
@@ -231,4 +231,5 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
                     pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), spans),
                 ], names=["doc_id", "language", "words", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OUT_SQL)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_OUT_SQL}")

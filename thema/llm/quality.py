@@ -24,6 +24,8 @@ from .text import as_bytes, chunks, range_hash, word_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most: those with the least hash of doc_id.
 SAMPLE = 2000
+#: Bytes of a text up to which its document may be in that sample.
+SAMPLE_BYTES = 1 << 16
 #: Weight of losing good documents against keeping bad ones, in the choice of the threshold.
 KEEP = 3.0
 _CLASSES = 10
@@ -93,11 +95,16 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         np.log1p(size) / 5, np.log1p(tokens) / 4, np.minimum(chars / tokens, 30) / 10, np.isin(last, (46, 33, 63, 34, 39, 41)).astype(float),
         (times[inverse] > 1).astype(float), (tokens < 3).astype(float), repeats, np.minimum((c[:, 5] + c[:, 8] + c[:, 9]) / chars, 1),
     ], axis=1)
+    return with_neighbours(own, doc), size, first
+
+
+def with_neighbours(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Lines' own features, those of the lines before and after, and one."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     same = doc[1:] == doc[:-1]
     before[1:][same] = own[:-1][same]
     after[:-1][same] = own[1:][same]
-    return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), size, first
+    return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1)
 
 
 def _order(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +115,10 @@ def _order(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bool = False):
+def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bool = False, weight: np.ndarray | None = None):
     """Forward-backward for all chains at once. unary (lines, 2) and trans (2, 2) are log scores.
     Gives each line's probability of label 1; with pairs also the expected transitions and the sum of
-    the chains' log partition functions."""
+    the chains' log partition functions, both times the lines' weights if there are any (equal within a chain)."""
     n = len(unary)
     order, active = _order(first)
     head = first[:-1][order]
@@ -136,7 +143,8 @@ def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bo
     inner[first[:-1][np.diff(first) > 0]] = False
     i = np.flatnonzero(inner)
     joint = alpha[i - 1][:, :, None] * t[None] * (e[i] * beta[i] / scale[i][:, None])[:, None, :]
-    return p[:, 1], joint.sum(axis=0), np.log(scale).sum() + shift.sum()
+    weight = np.ones(n) if weight is None else weight
+    return p[:, 1], np.tensordot(weight[i], joint, axes=1), (weight * (np.log(scale) + shift[:, 0])).sum()
 
 
 @dataclass
@@ -165,21 +173,29 @@ def _weighted(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(weight[first[1:]] - weight[first[:-1]], 1e-9)
 
 
-def fit_lines(x: np.ndarray, y: np.ndarray, first: np.ndarray, weight: np.ndarray, steps: int = 120, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Penalized conditional likelihood by gradient ascent with adaptive steps. weight is by chain."""
-    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
+def likelihood(w: np.ndarray, trans: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The chains' log likelihood, each times its weight, over the lines' weights in all, less l2 / 2 times the squares of w and trans; and its
+    gradients by both."""
     lines = np.repeat(weight, np.diff(first))
     inner = np.ones(len(x), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     i = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[i - 1], y[i]), 1.0)
+    np.add.at(seen, (y[i - 1], y[i]), lines[i])
+    good = x @ w
+    p, joint, z = marginals(np.stack([np.zeros(len(good)), good], axis=1), trans, first, pairs=True, weight=lines)
     total = lines.sum()
+    value = ((lines * good * y).sum() + (seen * trans).sum() - z) / total - l2 / 2 * ((w * w).sum() + (trans * trans).sum())
+    return value, x.T @ (lines * (y - p)) / total - l2 * w, (seen - joint) / total - l2 * trans
+
+
+def fit_lines(x: np.ndarray, y: np.ndarray, first: np.ndarray, weight: np.ndarray, steps: int = 120, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Penalized conditional likelihood by gradient ascent with adaptive steps. weight is by chain."""
+    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        good = x @ w
-        p, joint, _ = marginals(np.stack([np.zeros(len(good)), good], axis=1), trans, first, pairs=True)
-        g = np.append(x.T @ (lines * (y - p)) / total - l2 * w, ((seen - joint) / max(1, len(i)) - l2 * trans).ravel())
+        _, by_w, by_trans = likelihood(w, trans, x, y, first, weight, l2)
+        g = np.append(by_w, by_trans.ravel())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
@@ -225,29 +241,31 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, size, first = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"].slice(a, b - a), "quality": batch["quality"].slice(a, b - a),
-                "x": [x[first[i] : first[i + 1]].ravel() for i in range(b - a)], "size": [size[first[i] : first[i + 1]] for i in range(b - a)],
+                "x": [x[first[i] : first[i + 1], :OWN].ravel() for i in range(b - a)], "size": [size[first[i] : first[i + 1]] for i in range(b - a)],
             }, schema=_TRAIN)
 
 
-_TRAIN = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.list_(pa.float64())), ("size", pa.list_(pa.float64()))])
+_TRAIN = pa.schema([("doc_id", pa.string()), ("quality", pa.int32()), ("x", pa.list_(pa.float64())), ("size", pa.list_(pa.float64()))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf:
-    """A model fitted on at most `sample` labelled documents of each class. Null ids, texts and labels are left out;
-    of documents that repeat an id the first by hash counts."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LineCrf:
+    """A model fitted on at most `sample` labelled documents of each class, none of more than sample_bytes. Null ids, texts and labels are left out;
+    of documents that repeat an id the one with the fewest lines counts. Ids may be of any type."""
+    known = labels.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionAll(picked[1]))  # 2 * sample rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(chosen, "doc_id")
-    got = rows.mapInArrow(_collect, "doc_id long, quality int, x array<double>, size array<double>").toArrow().to_pylist()
-    by_id: dict[int, dict] = {}
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id")
+    got = rows.mapInArrow(_collect, "doc_id string, quality int, x array<double>, size array<double>").toArrow().to_pylist()
+    by_id: dict[str, dict] = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], len(r["x"]), r["x"])):
         by_id.setdefault(r["doc_id"], r)
     got = [by_id[k] for k in sorted(by_id)]
-    x = np.concatenate([np.array(r["x"]) for r in got] + [np.zeros(0)]).reshape(-1, FEATURES)
+    own = np.concatenate([np.array(r["x"]) for r in got] + [np.zeros(0)]).reshape(-1, OWN)
     size = np.concatenate([np.array(r["size"]) for r in got] + [np.zeros(0)])
-    first = np.append(0, np.cumsum([len(r["size"]) for r in got])).astype(np.int64)
+    lines = [len(r["size"]) for r in got]
+    first = np.append(0, np.cumsum(lines)).astype(np.int64)
+    x = with_neighbours(own, np.repeat(np.arange(len(got)), lines)) if len(own) else np.zeros((0, FEATURES))
     return fit(x, size, first, np.array([r["quality"] for r in got], np.int64))
 
 

@@ -15,11 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .place import free, placed, repeated
+
 #: Buckets in which rows are numbered in parallel.
 BUCKETS = 4096
 ROUNDS = 4
 #: Rows of a shard.
 SHARD_ROWS = 1024
+#: Shards in a folder.
+SHARDS_PER_FOLDER = 4096
 _M31 = (1 << 31) - 1
 
 
@@ -111,35 +115,63 @@ def numbered(keys: DataFrame, name: str, bucket: Column, order: list[Column], wi
     return out.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_bucket", "_before", "_nth")
 
 
-def shard_assignment(docs: DataFrame, seed: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, row, position, shard, slot) for every row of docs.
+def _numbers(keys: DataFrame) -> DataFrame:
+    """(doc_id, m, first) of all different doc_ids: their numbers of rows, and the number of the first of them. Rows that repeat a doc_id, or
+    have none, are one row here."""
+    same = keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).withColumn("bucket", bucket_of(_whole(keys)))
+    counts = same.groupBy("bucket").agg(F.sum("m").alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    out = same.withColumn("nth", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(offsets, "bucket")
+    return out.select("doc_id", "m", (F.col("before") + F.col("nth")).alias("first"))
 
-    Rows with a null doc_id come last in the first bucket; rows that repeat a doc_id get consecutive
-    row numbers. Texts play no part, nor do other columns. An empty table gives an empty result.
-    """
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    permutation = Permutation(keys.count(), seed)
-    rows = numbered(keys, "row", bucket_of(F.col("doc_id")), [F.col("doc_id").asc_nulls_last()])
+
+def _whole(keys: DataFrame) -> Column:
+    """doc_id as a whole number: itself, or a hash of another type."""
+    return F.col("doc_id").cast("long") if keys.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64("doc_id")
+
+
+def _at(permutation: Permutation, shard_rows: int, row: str) -> list[Column]:
+    """Columns position, shard and slot of a row's number."""
 
     @F.pandas_udf("long")
     def position(row: pd.Series) -> pd.Series:
         return pd.Series(permutation.position(row.to_numpy()))
 
-    n = permutation.shards(shard_rows)
-    return rows.withColumn("position", position("row")).select(
-        "doc_id", "row", "position", (F.col("position") % n).alias("shard"), F.floor(F.col("position") / n).cast("long").alias("slot")
-    )
-
-
-def write_shards(docs: DataFrame, path: str, seed: int = 0, shard_rows: int = SHARD_ROWS) -> None:
-    """docs, all columns, written to path in shards, each sorted by slot. Rows that repeat a doc_id share
-    the shards and slots of that doc_id in an arbitrary order; those of null doc_ids likewise."""
-    at = shard_assignment(docs, seed, shard_rows).withColumnsRenamed({"doc_id": "_id", "row": "_row", "shard": "_shard", "slot": "_slot"})
-    at = at.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("_row")))
-    own = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
-    both = own.join(at, (own["_k"] == at["_k"]) & own["doc_id"].eqNullSafe(at["_id"]))
-    shards = both.select(*[own[c] for c in docs.columns], "_shard", "_slot")
-    shards.repartition("_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    n, p = permutation.shards(shard_rows), position(row)
+    return [p.alias("position"), (p % n).alias("shard"), F.floor(p / n).cast("long").alias("slot")]
+
+
+def shard_assignment(docs: DataFrame, seed: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, row, position, shard, slot) for every row of docs.
+
+    Rows with a null doc_id come last in the first bucket; rows that repeat a doc_id get consecutive
+    row numbers. doc_id may be of any type. Texts play no part, nor do other columns. An empty table gives an empty result.
+    """
+    keys = docs.select("doc_id")
+    permutation = Permutation(keys.count(), seed)
+    rows = repeated(_numbers(keys), "m", ["doc_id"]).select("doc_id", (F.col("first") + F.col("copy")).alias("row"))
+    return rows.select("doc_id", "row", *_at(permutation, shard_rows, "row"))
+
+
+def write_shards(docs: DataFrame, path: str, seed: int = 0, shard_rows: int = SHARD_ROWS, shards_per_folder: int = SHARDS_PER_FOLDER) -> None:
+    """docs, all columns, written to path with their shards and slots, in columns _shard and _slot (with more underscores if docs has such), sorted by
+    them. A folder, _shards=g, holds shards_per_folder shards, so that their number doesn't become one of files. Rows that repeat a doc_id share
+    the shards and slots of that doc_id in the order of their places; those of null doc_ids likewise."""
+    own, file, row = placed(docs)
+    permutation = Permutation(docs.count(), seed)
+    # Rows of one doc_id are numbered in buckets of their places, so that a frequent one isn't sorted in one task.
+    keys = own.select(F.to_json(F.struct(F.col("doc_id"))).alias("id"), "doc_id", F.col(file).alias("file"), F.col(row).alias("row"))
+    first = _numbers(keys).select(F.to_json(F.struct("doc_id")).alias("id"), "m", "first")
+    both = keys.drop("doc_id").join(first, "id")
+    many = numbered(both.where("m > 1"), "copy", F.pmod(F.xxhash64("file", "row"), F.lit(BUCKETS)).cast("int"), [F.col("file"), F.col("row")], ["id"])
+    numbers = both.where("m = 1").select("file", "row", F.col("first").alias("n")).unionAll(many.select("file", "row", (F.col("first") + F.col("copy")).alias("n")))
+    shard, slot, group = (free(docs, x) for x in ("_shard", "_slot", "_shards"))
+    at = numbers.select(F.col("file").alias("f"), F.col("row").alias("r"), *_at(permutation, shard_rows, "n")[1:])
+    out = own.join(at, (own[file] == at["f"]) & (own[row] == at["r"])).select(*[own[c] for c in docs.columns], at["shard"].alias(shard), at["slot"].alias(slot))
+    out = out.withColumn(group, F.floor(F.col(shard) / shards_per_folder).cast("int"))
+    out.repartition(group, shard).sortWithinPartitions(group, shard, slot).write.partitionBy(group).parquet(path)
 
 
 def sharding_sql(seed: int = 0, shard_rows: int = SHARD_ROWS) -> str:

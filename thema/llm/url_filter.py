@@ -1,12 +1,13 @@
 """URL filter: gradient-boosted trees over lexical features.
 
 Features need the URL alone: lengths, depth, digit ratios, entropies, counts of parameters and signs,
-and statistics of the host's suffix (its last label) gathered from the training URLs. The trees are
+and statistics of the host's suffix (its last label) gathered from all labelled URLs. The trees are
 grown on histograms under logistic loss.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ from .text import as_bytes, chunks, lower, range_hash
 
 #: Labelled URLs of each class that the trees are grown on, at most: those with the least hash.
 SAMPLE = 20_000
+#: Suffixes with statistics of their own, at most.
+SUFFIXES = 100_000
 TREES = 60
 DEPTH = 4
 RATE = 0.2
@@ -129,22 +132,27 @@ class UrlModel:
         return 1 / (1 + np.exp(-total))
 
 
-def _suffix_stats(suffix: np.ndarray, y: np.ndarray) -> tuple[dict[int, tuple[float, float]], tuple[float, float]]:
-    """Smoothed rate of blocked URLs and log share, by suffix."""
-    rate = float(y.mean()) if len(y) else 0.5
+def _suffix_stats(keys: np.ndarray, n: np.ndarray, bad: np.ndarray) -> tuple[dict[int, tuple[float, float]], tuple[float, float]]:
+    """Smoothed rate of blocked URLs and log share, by suffix; from how many URLs each has, and how many blocked."""
+    every = int(n.sum())
+    rate = float(bad.sum() / every) if every else 0.5
+    stats = {int(k): (float((b + 20 * rate) / (m + 20)), float(np.log((m + 1) / (every + 1)))) for k, b, m in zip(keys, bad, n)}
+    return stats, (rate, float(-np.log(every + 1)))
+
+
+def suffix_counts(suffix: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes, their numbers of URLs and of blocked ones."""
     keys, at = np.unique(suffix, return_inverse=True)
-    n = np.bincount(at, minlength=len(keys))
-    bad = np.bincount(at, y, minlength=len(keys))
-    stats = {int(k): (float((b + 20 * rate) / (m + 20)), float(np.log((m + 1) / (len(y) + 1)))) for k, b, m in zip(keys, bad, n)}
-    return stats, (rate, float(-np.log(len(y) + 1)))
+    return keys, np.bincount(at, minlength=len(keys)), np.bincount(at, y, minlength=len(keys))
 
 
-def fit(urls: pa.Array, labels: np.ndarray, trees: int = TREES, rate: float = RATE) -> UrlModel:
-    """Trees from URLs and their labels (1 blocked). With one class or none, that class's prior alone."""
+def fit(urls: pa.Array, labels: np.ndarray, trees: int = TREES, rate: float = RATE, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> UrlModel:
+    """Trees from URLs and their labels (1 blocked). With one class or none, that class's prior alone. counts: the suffixes' counts over
+    all labelled URLs, if these are a sample."""
     data, offsets = as_bytes(lower(urls))
     x, suffix = lexical(data, offsets)
     y = np.asarray(labels, float)
-    stats, unknown = _suffix_stats(suffix, y)
+    stats, unknown = _suffix_stats(*(counts if counts is not None and len(counts[0]) else suffix_counts(suffix, y)))
     inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
     prior = (y.sum() + 0.5) / (len(y) + 1)
     model = UrlModel(float(np.log(prior / (1 - prior))), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), stats, unknown)
@@ -196,12 +204,26 @@ def block_labels(url: Column, words: tuple[str, ...] = BLOCK_WORDS) -> Column:
     return F.arrays_overlap(F.split(host, r"[.:-]"), F.array(*[F.lit(w) for w in words])).cast("int")
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """A model grown on labelled(url, label), at most `sample` different URLs of each class. Null URLs and labels are left out."""
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = as_bytes(lower(batch["url"]))
+        label = batch["label"].to_numpy()
+        for a, b in chunks(offsets):
+            _, suffix = lexical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            keys, n, bad = suffix_counts(suffix, label[a:b].astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(bad.astype(np.int64))], names=["suffix", "n", "bad"])
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, suffixes: int = SUFFIXES) -> UrlModel:
+    """A model with trees grown on labelled(url, label), at most `sample` different URLs of each class, and statistics of the suffixes of all of
+    them, the `suffixes` most frequent by name (top-level domains are some 1,500; others count as unknown). Null URLs and labels are left out."""
     own = labelled.where("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
     least = [own.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(sample) for k in (0, 1)]
     got = least[0].unionAll(least[1]).orderBy("label", F.xxhash64("url"), "url").toArrow()
-    return fit(got["url"].combine_chunks().cast(pa.string()), got["label"].to_numpy())
+    counted = own.mapInArrow(_suffixes, "suffix long, n long, bad long").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counted = counted.orderBy(F.col("n").desc(), "suffix").limit(suffixes).toArrow()
+    counts = tuple(counted[c].to_numpy() for c in ("suffix", "n", "bad"))
+    return fit(got["url"].combine_chunks().cast(pa.string()), got["label"].to_numpy(), counts=(counts[0].view(np.uint64), *counts[1:]))
 
 
 def score_urls(pages: DataFrame, model: UrlModel, threshold: float = 0.5) -> DataFrame:

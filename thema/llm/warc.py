@@ -17,8 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a range.
-SPLIT_BYTES = 64 << 20
+from ..storage import filesystem
+
+#: Bytes of a range, at least and at most; between them, a quarter of each core's share of the files.
+LEAST_SPLIT, SPLIT_BYTES = 1 << 18, 64 << 20
+#: Tasks that read ranges, at most for each core.
+WAVES = 16
 _BLOCK = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 SCHEMA = "path string, position long, headers map<string, string>, payload binary"
@@ -108,26 +112,31 @@ def read_range(handle, size: int, start: int, end: int, block: int = _BLOCK) ->
         at = got[1]
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """(path, position, headers, payload) of all records of the .gz files below path.
 
     Headers are named in lower case, the first of a repeated one counts; "version" holds the first line.
     A member that is broken or cut short, and bytes between members, are skipped; empty files
     and folders give nothing. A record in a member of its own that stores another gzipped WARC without
-    compression would yield the inner records too where a range starts within it.
+    compression would yield the inner records too where a range starts within it. split_bytes: bytes of a range; see LEAST_SPLIT. Tasks take
+    neighbouring ranges, as many as there are for WAVES tasks a core.
     """
     from pyarrow import fs
 
-    files, root = fs.FileSystem.from_uri(path)
+    files, root = filesystem(path)
     info = files.get_file_info(root)
     listed = files.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else [info]
-    ranges = [(f.path, f.size, i) for f in listed if f.type == fs.FileType.File and f.path.endswith(".gz") for i in range(0, f.size or 0, split_bytes)]
+    listed = [f for f in listed if f.type == fs.FileType.File and f.path.endswith(".gz")]
+    cores = spark.sparkContext.defaultParallelism
+    if split_bytes is None:
+        split_bytes = min(SPLIT_BYTES, max(LEAST_SPLIT, sum(f.size or 0 for f in listed) // (4 * cores)))
+    ranges = [(f.path, f.size, i) for f in listed for i in range(0, f.size or 0, split_bytes)]
     own = spark.createDataFrame(sorted(ranges), "path string, size long, start long")
     if ranges:
-        own = own.repartitionByRange(len(ranges), "path", "start")
+        own = own.repartitionByRange(min(len(ranges), WAVES * cores), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_files, _ = fs.FileSystem.from_uri(path)
+        own_files, _ = filesystem(path)
         schema = pa.schema([("path", pa.string()), ("position", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         for batch in batches:
             for r in batch.to_pylist():
@@ -165,9 +174,7 @@ def write_warc(pages: DataFrame, path: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(path)
+        files, root = filesystem(path)
         task = TaskContext.get()
         name, n, out = f"part-{task.partitionId():05d}.warc.gz", 0, None
         part = f"{root}/.{name}.{task.taskAttemptId()}"
