@@ -1,21 +1,25 @@
-"""Queries that fit models; iterative, so without SQL."""
+"""Queries that fit models. Their start values are a generator's, which SQL can't state; those from closed-form values have SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import words
+from ..operators import cooc as C
 from ..operators import dictionary as D
 from ..operators import matrix as M
 from ..operators.phi_regularizers import DecorrelatorPhi, SmoothSparsePhi
 from ..operators.theta_regularizers import SmoothSparseTheta, TopicSegmentationPtdw
 from ..schema import DEFAULT_CLASS, DEFAULT_TRANSACTION
+from ..sources.vectorizer import union_sources
 from ..storage import written
-from .corpus import bow, table
+from .corpus import TOPICS, bow, start_weights, table
 from .hierarchy import Hierarchy
 from .lda import Lda
-from .model import TopicModel
+from .model import TopicModel, topic_model
 
 
 def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -24,21 +28,21 @@ def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return own, D.gather(own)
 
 
-def _top(model: TopicModel, spark: SparkSession, k: int = 10) -> DataFrame:
+def _top(model, spark: SparkSession, k: int = 10) -> DataFrame:
     return M.top_tokens(model.matrix(spark), k).withColumn("value", F.round("value", 6))
 
 
 def fit_offline(spark: SparkSession, d: str) -> DataFrame:
     """Top tokens after five passes with sparse, decorrelated topics."""
     ndw, dictionary = _corpus(spark, d)
-    model = TopicModel(8, dictionary, regularizers={"sparse": SmoothSparsePhi(-0.1), "decorrelator": DecorrelatorPhi(1e3), "theta": SmoothSparseTheta(-0.1)})
+    model = topic_model(8, dictionary, regularizers={"sparse": SmoothSparsePhi(-0.1), "decorrelator": DecorrelatorPhi(1e3), "theta": SmoothSparseTheta(-0.1)})
     return _top(model.fit_offline(ndw, 5), spark)
 
 
 def fit_history(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity and sparsity by pass."""
     ndw, dictionary = _corpus(spark, d)
-    model = TopicModel(8, dictionary, collection_unigram=True).fit_offline(ndw, 4)
+    model = topic_model(8, dictionary, collection_unigram=True).fit_offline(ndw, 4)
     rows = [(h["pass"], round(h["perplexity"], 3), round(h["sparsity_phi"][DEFAULT_CLASS], 6), round(h["sparsity_theta"], 6)) for h in model.history]
     return spark.createDataFrame(rows, "pass int, perplexity double, sparsity_phi double, sparsity_theta double")
 
@@ -46,7 +50,7 @@ def fit_history(spark: SparkSession, d: str) -> DataFrame:
 def fit_online(spark: SparkSession, d: str) -> DataFrame:
     """Top tokens after one online pass in four chunks."""
     ndw, dictionary = _corpus(spark, d)
-    model = TopicModel(8, dictionary)
+    model = topic_model(8, dictionary)
     docs = model.encode(ndw)
     chunks = [docs.where(F.pmod("item_id", F.lit(4)) == i) for i in range(4)]
     return _top(model.fit_online(chunks, tau0=1.0, kappa=0.5), spark)
@@ -55,7 +59,7 @@ def fit_online(spark: SparkSession, d: str) -> DataFrame:
 def transform_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Theta of benchmark items under a model of the documents."""
     ndw, dictionary = _corpus(spark, d)
-    model = TopicModel(8, dictionary).fit_offline(ndw, 3)
+    model = topic_model(8, dictionary).fit_offline(ndw, 3)
     theta = model.transform(bow(table(spark, d, "benchmark"), "item_id"))
     return theta.select("item_id", F.posexplode("theta").alias("topic", "value")).withColumn("value", F.round("value", 6))
 
@@ -70,7 +74,7 @@ def multimodal(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     tags = docs.select(F.col("doc_id").alias("item_id"), F.explode(F.array(F.struct(F.lit("@lang").alias("class_id"), F.col("lang").alias("token")), F.struct(F.lit("@source").alias("class_id"), F.col("source").alias("token")))).alias("x"))
     ndw = bow(docs).unionByName(tags.select("item_id", "x.class_id", "x.token", F.lit(1.0).alias("weight")))
-    model = TopicModel(6, D.gather(ndw), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
+    model = topic_model(6, D.gather(ndw), class_weights={DEFAULT_CLASS: 1.0, "@lang": 10.0, "@source": 1.0}).fit_offline(ndw, 4)
     return model.matrix(spark).where(F.col("class_id") == "@lang").withColumn("value", F.round("value", 6))
 
 
@@ -125,4 +129,116 @@ def stream_online(spark: SparkSession, d: str) -> DataFrame:
     return _top(model, spark, 5)
 
 
-QUERIES = {f.__name__: f for f in (fit_offline, fit_history, fit_online, transform_benchmark, lda, multimodal, hierarchy_psi, ptdw_segmentation, transactions, stream_online)}
+# -- fits from closed-form start values, which SQL can state: TOPICS topics, one pass over each document ---------------------
+
+
+def _em(i: int, bow: str = "bow", phi: str | None = None, alpha: float = 0.0, scale: str = "1.0") -> str:
+    """SQL of the counters n{i+1} that a pass over `bow` gives under `phi`, with Theta from equal shares."""
+    phi = phi or f"phi{i}"
+    return f"""a{i} AS (SELECT b.item_id, b.token, b.weight, {scale} AS scale, p.topic, p.value AS phi FROM {bow} b JOIN {phi} p USING (token)),
+za{i} AS (SELECT *, sum(phi) OVER (PARTITION BY item_id, token, scale) AS z FROM a{i}),
+na{i} AS (SELECT item_id, scale, topic, sum(CASE WHEN z / {TOPICS} >= 1e-16 THEN weight * phi / z ELSE 0 END) + {alpha} AS n FROM za{i} GROUP BY ALL),
+ta{i} AS (SELECT item_id, scale, topic, n / sum(n) OVER (PARTITION BY item_id, scale) AS v FROM na{i}),
+t{i} AS (SELECT item_id, scale, topic, CASE WHEN v < 1e-16 THEN 0.0 ELSE v END AS value FROM ta{i}),
+q{i} AS (SELECT a.item_id, a.scale, a.token, a.weight, a.topic, a.phi * t.value AS q FROM a{i} a JOIN t{i} t ON t.item_id = a.item_id AND t.topic = a.topic AND t.scale = a.scale),
+zq{i} AS (SELECT *, sum(q) OVER (PARTITION BY item_id, token, scale) AS z FROM q{i}),
+n{i + 1} AS (SELECT token, topic, sum(CASE WHEN z >= 1e-16 THEN scale * weight * q / z ELSE 0 END) AS value FROM zq{i} GROUP BY ALL)"""
+
+
+def _norm(i: int, of: str, beta: float = 0.0) -> str:
+    return f"phi{i} AS (SELECT token, topic, (value + {beta}) / sum(value + {beta}) OVER (PARTITION BY topic) AS value FROM {of})"
+
+
+def _started(spark: SparkSession, d: str, kind=TopicModel, **options):
+    """Bags of words and a model with the start values of corpus.start_weights in both matrices."""
+    ndw, dictionary = _corpus(spark, d)
+    phi = M.normalize(start_weights(dictionary)).groupBy("class_id", "token").agg(F.array_sort(F.collect_list(F.struct("topic", "value"))).alias("x"))
+    got = phi.select("class_id", "token", F.col("x.value").alias("v")).toPandas()
+    model = kind([str(t) for t in range(TOPICS)], dictionary, document_passes=1, **options)
+    frame = pd.DataFrame(np.array(got["v"].tolist()), index=pd.MultiIndex.from_arrays([got["class_id"], got["token"]]), columns=model.topics)
+    model.overwrite("pwt", frame)
+    model.overwrite("nwt", frame)
+    return ndw, model
+
+
+def _phi_of(model: TopicModel, spark: SparkSession) -> DataFrame:
+    return model.matrix(spark).select("token", F.col("topic").cast("int").alias("topic"), F.round("value", 9).alias("value"))
+
+
+def fit_started(spark: SparkSession, d: str) -> DataFrame:
+    """Phi after two offline passes."""
+    ndw, model = _started(spark, d)
+    return _phi_of(model.fit_offline(ndw, 2), spark)
+
+
+def online_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Phi after two online updates, by odd and even documents, with tau0 = 1 and kappa = 0.5."""
+    ndw, model = _started(spark, d)
+    return _phi_of(model.fit_online([ndw.where(F.pmod("item_id", F.lit(2)) == i) for i in (0, 1)], 1.0, 0.5), spark)
+
+
+def batch_weighted_nwt(spark: SparkSession, d: str) -> DataFrame:
+    """n_wt of a pass over documents and, at half weight, benchmark items."""
+    ndw, model = _started(spark, d)
+    model.process(union_sources([(ndw, 1.0), (bow(table(spark, d, "benchmark"), "item_id"), 0.5)]))
+    return model.matrix(spark, "nwt").where("value <> 0").select("token", F.col("topic").cast("int").alias("topic"), F.round("value", 6).alias("value"))
+
+
+def transform_started(spark: SparkSession, d: str) -> DataFrame:
+    """Theta of benchmark items under the start values."""
+    _, model = _started(spark, d)
+    theta = model.transform(bow(table(spark, d, "benchmark"), "item_id"))
+    return theta.select("item_id", F.posexplode("theta").alias("topic", "value")).withColumn("value", F.round("value", 6))
+
+
+def lda_started(spark: SparkSession, d: str) -> DataFrame:
+    """Phi after a pass of LDA with alpha = 0.1 and beta = 0.01."""
+    ndw, model = _started(spark, d, Lda, alpha=0.1, beta=0.01)
+    return _phi_of(model.fit_offline(ndw, 1), spark)
+
+
+def perplexity_started(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity of the first two passes, as the model's history has it."""
+    ndw, model = _started(spark, d, collection_unigram=True)
+    model.fit_offline(ndw, 2)
+    return spark.createDataFrame([(h["pass"], round(h["perplexity"], 4)) for h in model.history], "pass int, perplexity double")
+
+
+def cooc_by_modality(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations with a speaker's role as the modality of their words: pairs of the same modality within five places, of words of documents."""
+    from ..cli import cooc_sequences
+
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", "role", F.posexplode(words("text")).alias("p", "token"))
+    ndw = turns.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("turn", "p")).alias("pos"), F.col("role").alias("class_id"), "token")
+    vocabulary = bow(table(spark, d, "documents")).select("token").distinct().crossJoin(ndw.select("class_id").distinct())
+    docs = cooc_sequences(ndw, vocabulary)
+    pairs = C.window_pairs(docs.withColumn("tokens", F.transform("tokens", lambda t: F.struct(F.col("class_id").alias("c"), t.alias("t")))), 5).where("u.t IS NOT NULL AND v.t IS NOT NULL")
+    return C.cooccurrence(pairs).select(F.col("u.c").alias("class_id"), F.col("u.t").alias("u"), F.col("v.t").alias("v"), "tf", "df")
+
+
+def _sql() -> dict[str, str]:
+    from .queries import PHI, WORD
+
+    phi = f"{PHI}, phi0 AS (SELECT * FROM phi)"
+    bench = "bench AS (SELECT item_id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark) GROUP BY ALL)"
+    likelihood = """x{i} AS (SELECT q.item_id, q.token, q.weight, sum(q.q) AS p FROM q{i} q GROUP BY ALL),
+l{i} AS (SELECT exp(-sum(weight * ln(CASE WHEN p < 1e-16 THEN u ELSE p END)) / sum(weight)) AS perplexity FROM (SELECT x{i}.*, dict.value AS u FROM x{i} JOIN dict USING (token)))"""
+    rho = [2**-0.5, 3**-0.5]
+    merged = "m{j} AS (SELECT p.token, p.topic, {d!r} * p.value + {a!r} * coalesce(n.value, 0) AS value FROM {before} p LEFT JOIN n{j} n ON n.token = p.token AND n.topic = p.topic)"
+    out = {
+        "fit_started": f"WITH {phi}, {_em(0)}, {_norm(1, 'n1')}, {_em(1)}, {_norm(2, 'n2')} SELECT token, topic, round(value, 9) AS value FROM phi2",
+        "online_weights": f"""WITH {phi}, even AS (SELECT * FROM bow WHERE item_id % 2 = 0), odd AS (SELECT * FROM bow WHERE item_id % 2 = 1), {_em(0, "even")}, {merged.format(j=1, d=1 - rho[0], a=rho[0], before="phi0")}, {_norm(1, "m1")},
+{_em(1, "odd")}, {merged.format(j=2, d=1 - rho[1], a=rho[1], before="m1")}, {_norm(2, "m2")} SELECT token, topic, round(value, 9) AS value FROM phi2""",
+        "batch_weighted_nwt": f"""WITH {phi}, {bench}, every AS (SELECT *, 1.0 AS s FROM bow UNION ALL SELECT *, 0.5 FROM bench), {_em(0, "every", scale="b.s")} SELECT token, topic, round(value, 6) AS value FROM n1 WHERE value <> 0""",
+        "transform_started": f"WITH {phi}, {bench}, {_em(0, 'bench')} SELECT item_id, topic, round(value, 6) AS value FROM t0",
+        "lda_started": f"WITH {phi}, {_em(0, alpha=0.1)}, {_norm(1, 'n1', 0.01)} SELECT token, topic, round(value, 9) AS value FROM phi1",
+        "perplexity_started": f"WITH {phi}, {_em(0)}, {_norm(1, 'n1')}, {_em(1)}, {likelihood.format(i=0)}, {likelihood.format(i=1)} SELECT 1 AS pass, round(perplexity, 4) AS perplexity FROM l0 UNION ALL SELECT 2, round(perplexity, 4) FROM l1",
+        "cooc_by_modality": """WITH t AS (SELECT conv_id AS item_id, turn, role AS class_id, regexp_extract_all(lower(text), '<word>') AS toks FROM conversations), w AS (SELECT item_id, turn, class_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM t),
+pos AS (SELECT item_id, class_id, token, row_number() OVER (PARTITION BY item_id ORDER BY turn, p) AS pos FROM w), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM documents), known AS (SELECT * FROM pos WHERE token IN (SELECT token FROM v)),
+pairs AS (SELECT a.item_id, a.class_id, a.token AS u, b.token AS v FROM known a JOIN known b ON a.item_id = b.item_id AND a.class_id = b.class_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 5),
+both_ways AS (SELECT item_id, class_id, u, v FROM pairs UNION ALL SELECT item_id, class_id, v, u FROM pairs) SELECT class_id, u, v, count(*) AS tf, count(DISTINCT item_id) AS df FROM both_ways GROUP BY class_id, u, v""",
+    }
+    return {k: v.replace("<word>", WORD) for k, v in out.items()}
+
+
+QUERIES = {f.__name__: f for f in (fit_started, online_weights, batch_weighted_nwt, transform_started, lda_started, perplexity_started, cooc_by_modality, fit_offline, fit_history, fit_online, transform_benchmark, lda, multimodal, hierarchy_psi, ptdw_segmentation, transactions, stream_online)}

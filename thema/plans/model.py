@@ -3,7 +3,8 @@
 A pass is one Spark job: tasks hold Phi, run the kernel over their documents and add up n_wt, one partial
 sum for each partition; partial sums meet by blocks of rows in a shuffle, and their totals return to the driver, which
 regularizes and normalizes. Documents are encoded once, token strings never travel again. Phi and
-n_wt are the driver's: their size is checked against MODEL_BYTES, and fit_relational() takes over beyond it.
+n_wt are the driver's: their size is checked against MODEL_BYTES. topic_model() chooses between this and plans.partitioned, whose matrices
+are tables, by that size.
 """
 
 from __future__ import annotations
@@ -276,7 +277,7 @@ class TopicModel:
         self.vocab = written(token_numbers(own.select("class_id", "token", "value", "tf")))
         n = self.vocab.count()
         if n * len(self.topics) * 8 > MODEL_BYTES:
-            raise ValueError(f"Phi of {n} tokens and {len(self.topics)} topics exceeds MODEL_BYTES; use fit_relational()")
+            raise ValueError(f"Phi of {n} tokens and {len(self.topics)} topics exceeds MODEL_BYTES; topic_model() makes a PartitionedModel of that size")
         got = self.vocab.orderBy("token_idx").toPandas()
         classes, tokens = got["class_id"].to_numpy(object), got["token"].to_numpy(object)
         self.value = got["value"].to_numpy(float)
@@ -562,6 +563,15 @@ class TopicModel:
         return out
 
 
+def topic_model(topics: int | list[str], dictionary: DataFrame, class_weights: dict[str, float] | None = None, **options):
+    """A TopicModel if its Phi is within MODEL_BYTES, else a PartitionedModel: both give the same."""
+    from .partitioned import PartitionedModel
+
+    own = dictionary if not class_weights else dictionary.where(F.col("class_id").isin(list(class_weights)))
+    size = own.count() * (topics if isinstance(topics, int) else len(topics)) * 8
+    return (TopicModel if size <= MODEL_BYTES else PartitionedModel)(topics, dictionary, class_weights, **options)
+
+
 def fit_relational(ndw: DataFrame, nwt: DataFrame, items: DataFrame, topics: list, passes: int, document_passes: int = 10, regularize: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(n_wt, Phi) after passes on long tables only, for models that no task can hold. regularize(p, n) gives r_wt. Every pass is a written
     table; the one before is deleted."""

@@ -637,4 +637,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import fitted
+
+    return _SQL | fitted._sql()
