@@ -13,7 +13,7 @@ from thema.llm.exact_dedup import drop_exact_duplicates
 from thema.llm.near_dedup import drop_near_duplicates
 from thema.llm.packing import pack_documents
 from thema.llm.quality import keep_good
-from thema.storage import written
+from thema.storage import drop, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +49,19 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Training, search trees and packing aren't expressible in SQL; the tests hold run() against a brute-force version.
+#: Training, search trees and packing aren't expressible in SQL; the tests hold every stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next. What a stage wrote for itself goes when its result is there,
+    and that when the next one's is; only what the result reads is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = docs
+        with scratch(spark) as s:
+            docs = s.keep(written(stage(spark, before, sf_dir)))
+        drop(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop(docs)  # packing has the lengths in a table of its own
+    return out
