@@ -1,17 +1,32 @@
+import re
 from collections import Counter
-
-import pyarrow as pa
+from pathlib import Path
 
 import corpus_pipeline
-from thema.llm.decontam import Benchmark
-from thema.llm.near_dedup import shingles
-from thema.llm.packing import pack
 from thema.llm.quality import train
-from thema.llm.text import as_bytes, lower, word_hashes
+from thema.storage import scratch, shared_root
+
+from .test_packing import brute
+from .test_quality import plain_quality
+
+
+def plain_words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
+
+
+def plain_grams(text, k=3):
+    w = plain_words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def shares(text, items):
+    """Whether a text has 13 words in a row with an item in common (or all of an item of 8 to 12)."""
+    w = plain_words(text)
+    return any(tuple(w[i : i + n]) in grams for n, grams in items.items() for i in range(len(w) - n + 1))
 
 
 def test_stages_on_a_table(spark, sf_dir, tmp_path):
-    """Every stage against a plain version of its decision, on what the stage before kept."""
+    """Every stage, on what the stage before kept, against plain Python that uses nothing of the stages but the fitted weights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, {"documents": docs.toPandas()}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -26,28 +41,37 @@ def test_stages_on_a_table(spark, sf_dir, tmp_path):
 
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     start = kept["documents"]
-    q = model.qualities(*as_bytes(pa.array(start.text)))
+    q = start.text.map(lambda t: plain_quality(model, t))
+    assert (abs(q - model.threshold) > 1e-6).all()
     assert sorted(quality.doc_id) == sorted(start.doc_id[q >= model.threshold])
     assert len(quality) < len(start)
 
     assert sorted(exact.doc_id) == sorted(quality.sort_values("doc_id").drop_duplicates("text").doc_id)
 
-    grams, first = shingles(*word_hashes(*as_bytes(lower(pa.array(exact.text)))), 3)
-    sets = [set(grams[first[i] : first[i + 1]].tolist()) for i in range(len(exact))]
+    sets = [plain_grams(t) for t in exact.text]
     alive = set(near.doc_id)
     ids = exact.doc_id.tolist()
-    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.55 * len(sets[i] | sets[j])]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(ids)) for j in range(i)}
+    pairs = [(ids[i], ids[j]) for (i, j), x in like.items() if x >= 0.55]
     assert pairs and sum(a in alive and b in alive for a, b in pairs) <= 0.1 * len(pairs)
-    lonely = [ids[i] for i in range(len(ids)) if all(i == j or len(sets[i] & sets[j]) < 0.35 * len(sets[i] | sets[j]) for j in range(len(ids)))]
+    lonely = [ids[i] for i in range(len(ids)) if all(like[max(i, j), min(i, j)] < 0.35 for j in range(len(ids)) if j != i)]
     assert set(lonely) <= alive
 
-    items = Benchmark(pa.array(spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas().text))
-    leaks = {x[0] for x in items.spans(*word_hashes(*as_bytes(lower(pa.array(near.text)))))}
-    assert sorted(clean.doc_id) == sorted(d for i, d in enumerate(near.doc_id) if i not in leaks)
+    items: dict[int, set] = {}
+    for text in spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas().text:
+        w = plain_words(text)
+        n = min(13, len(w))
+        if n >= 8:
+            items.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    assert sorted(clean.doc_id) == sorted(d for d, t in zip(near.doc_id, near.text) if not shares(t, items))
+
+    words = dict(zip(clean.doc_id, clean.text.str.split().str.len()))
+    assert (packed.groupby("doc_id").length.sum() == [words[d] for d in sorted(words)]).all()
+    assert Counter(packed.groupby("bin_id").length.sum()) == Counter(map(sum, brute([x for x in packed.length if x], 2048)))
 
-    assert set(packed.doc_id) == set(clean.doc_id)
-    sizes = packed.groupby("bin_id").length.sum()
-    assert sizes.max() <= 2048 and len(sizes) == pack(Counter(packed.length[packed.length > 0])).bins
+    run = corpus_pipeline.run(spark, sf_dir).toPandas()
+    key = ["doc_id", "part"]
+    assert run.sort_values(key).reset_index(drop=True).equals(packed.sort_values(key).reset_index(drop=True))
 
 
 def test_run_and_edges(spark, tmp_path):
@@ -63,3 +87,12 @@ def test_run_and_edges(spark, tmp_path):
     got = corpus_pipeline.run(spark, f"{tmp_path}/some").select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == set(range(20)) - {3} | {None}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_only_live_tables_remain(spark, sf_dir):
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.iterdir()) if root.exists() else set()
+    with scratch(spark):
+        got = corpus_pipeline.run(spark, sf_dir)
+        assert got.count() > 0 and len(set(root.iterdir()) - before) == 1  # the packed lengths
+    assert set(root.iterdir()) == before

@@ -19,9 +19,9 @@ def brute(texts, order):
     trie = {c: {s: n for s, n in seen.items() if n >= 2} for c, seen in trie.items()}
     out = []
     for t in texts:
-        b, bits = bytes(order) + t.encode(), 0.0
+        b, whole = bytes(order) + t.encode(), 0
         for i in range(order, len(b)):
-            excluded = set()
+            excluded, bits = set(), 0.0
             for k in range(order, -1, -1):
                 seen = trie[b[i - k : i]]
                 rest = {s: n for s, n in seen.items() if s not in excluded}
@@ -34,7 +34,8 @@ def brute(texts, order):
                 excluded |= set(seen)
             else:
                 bits += math.log2(256 - len(excluded))
-        out.append(bits)
+            whole += round(bits * 1024)  # a byte's code length is a multiple of 1/1024 bit
+        out.append(whole / 1024)
     return out
 
 

@@ -41,17 +41,19 @@ ORDER = 6
 LEAST = 2
 #: Bytes at a context's end that name its owner.
 LOCAL = 3
-#: Rows of a source.
-SOURCE_ROWS = 1 << 14
+#: Rows of a source; a task holds the table of one.
+SOURCE_ROWS = 1 << 12
 #: Bytes of the corpus's files for an owner, about; most owners.
-OWNER_BYTES, OWNERS = 16 << 20, 1 << 16
+OWNER_BYTES, OWNERS = 16 << 20, 1 << 13
+#: Steps in a bit: code lengths of grams are rounded to them.
+STEPS = 1024
 #: Lists that are added up at once.
 FAN = 64
 #: Grams asked for in one answering task, about.
 ASKED = 4_000_000
 #: Different grams of a source from which a list is sent before its end.
-HELD = 4_000_000
-SOURCES_PER_FOLDER = 64
+HELD = 2_000_000
+SOURCES_PER_FOLDER = 8
 
 
 def gram_pieces(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -76,8 +78,12 @@ def gram_pieces(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[t
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return grams, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(grams)).astype(np.int64)
+    """Different grams, ascending, and the sums of their numbers."""
+    grams, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[heads], np.add.reduceat(n, heads) if len(heads) else n
 
 
 def pack(grams: np.ndarray, size: int) -> bytes:
@@ -196,34 +202,25 @@ def levels(grams: np.ndarray, n: np.ndarray, first: int, last: int, below: Level
 
 _SUMS_SQL = "owner int, slot int, count long, grams binary, n binary"
 _TABLE_SQL = "owner int, count long, grams binary, bits binary"
-_ANSWER_SQL = "source long, count long, grams binary, values binary, which binary"
+_ANSWER_SQL = "source long, count long, grams binary, bits binary"
 
 
-def _added(order: int):
-    """Lists of an owner (and slot) as one."""
+def _added(order: int, shallow=None):
+    """Lists of an owner (and slot) as one; with the levels below, an owner's table of code lengths."""
     size = order + 1
 
     def run(key: tuple, lists: pa.Table) -> pa.Table:
         parts: list = []
-        for r in lists.select(["count", "grams", "n"]).to_pylist():
-            parts.append((unpack(r["grams"], r["count"], size), unpack(r["n"], r["count"], 8).astype(np.int64)))
-        grams, n = _merge(parts)
-        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "slot": pa.array([key[1].as_py()], pa.int32()), "count": [len(grams)], "grams": [pack(grams, size)], "n": [pack(n.astype(np.uint64), 8)]})
-
-    return run
-
-
-def _computed(order: int, shallow):
-    """An owner's table of code lengths, from the sum of its lists."""
-    size = order + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lists.select(["count", "grams", "n"]).to_batches(max_chunksize=16):
             for r in batch.to_pylist():
-                grams, n = unpack(r["grams"], r["count"], size), unpack(r["n"], r["count"], 8).astype(np.int64)
-                top = levels(grams, n, min(LOCAL, order), order, shallow.value)
-                bits = top.coded(np.arange(len(grams))).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([r["owner"]], pa.int32()), pa.array([r["count"]]), pa.array([r["grams"]]), pa.array([bits.tobytes()])], names=["owner", "count", "grams", "bits"])
+                parts.append((unpack(r["grams"], r["count"], size), unpack(r["n"], r["count"], 8).astype(np.int64)))
+        grams, n = _merge(parts)
+        del parts
+        own = {"owner": pa.array([key[0].as_py()], pa.int32()), "count": [len(grams)], "grams": [pack(grams, size)]}
+        if shallow is None:
+            return pa.table({"owner": own["owner"], "slot": pa.array([key[1].as_py()], pa.int32()), "count": own["count"], "grams": own["grams"], "n": [pack(n.astype(np.uint64), 8)]})
+        top = levels(grams, n, min(LOCAL, order), order, shallow.value)
+        return pa.table(own | {"bits": [pack(np.rint(top.coded(np.arange(len(grams))) * STEPS).astype(np.uint64), 3)]})
 
     return run
 
@@ -232,17 +229,17 @@ def _answered(order: int):
     size = order + 1
 
     def run(lists: pa.Table, table: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], []]
         if len(lists) and len(table):
             own = table.to_pylist()[0]
-            known, bits = unpack(own["grams"], own["count"], size), np.frombuffer(own["bits"], np.float32)
+            known, bits = unpack(own["grams"], own["count"], size), unpack(own["bits"], own["count"], 3)
             for batch in lists.to_batches(max_chunksize=64):
                 for r in batch.to_pylist():
-                    values, which = np.unique(bits[np.searchsorted(known, unpack(r["grams"], r["count"], size))], return_inverse=True)
-                    for c, x in zip(columns, (r["source"], r["count"], r["grams"], values.tobytes(), pack(which.astype(np.uint64), 4))):
+                    found = bits[np.searchsorted(known, unpack(r["grams"], r["count"], size))]
+                    for c, x in zip(columns, (r["source"], r["count"], r["grams"], pack(found, 3))):
                         c.append(x)
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "count", "grams", "values", "which"])
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "count", "grams", "bits"])
 
     return run
 
@@ -257,11 +254,11 @@ def _summed(path: str, folders: int, order: int):
 
         files, root = filesystem(path)
         got = ds.dataset(f"{root}/folder={source % folders}", filesystem=files, format="parquet").to_table(filter=ds.field("source") == source)
-        grams, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        grams, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for batch in got.to_batches(max_chunksize=64):
             for r in batch.to_pylist():
                 grams.append(unpack(r["grams"], r["count"], size))
-                bits.append(np.frombuffer(r["values"], np.float32)[unpack(r["which"], r["count"], 4).astype(np.int64)])
+                bits.append(unpack(r["bits"], r["count"], 3).astype(np.uint32))
         known, at = np.unique(np.concatenate(grams), return_index=True)
         return HashTable(known), np.concatenate(bits)[at]
 
@@ -278,9 +275,9 @@ def _summed(path: str, folders: int, order: int):
                 cache[every[a]] = lengths(int(every[a]))
             table, bits = cache[every[a]]
             for grams, first, row in gram_pieces(data, offsets, order):
-                total = np.append(0.0, np.cumsum(bits[table.find(grams)], dtype=np.float64))
+                total = np.append(0, np.cumsum(bits[table.find(grams)], dtype=np.int64))
                 sums[a + row : a + row + len(first) - 1] += total[first[1:]] - total[first[:-1]]
-        return pa.array(sums)
+        return pa.array(sums / STEPS)
 
     return F.arrow_udf(length, "double")
 
@@ -310,13 +307,10 @@ def score_language(docs: DataFrame, order: int = ORDER, source_rows: int = SOURC
         sent = spark.sparkContext.broadcast(levels(shallow["gram"].to_numpy().view(np.uint64), shallow["n"].to_numpy(), 0, local - 1, None))
         slots = max(1, math.ceil(sources / FAN))
         sums = lists.select("owner", F.pmod("source", F.lit(slots)).cast("int").alias("slot"), "count", "grams", "n")
-        while True:
-            sums = sums.groupBy("owner", "slot").applyInArrow(_added(order), _SUMS_SQL)
-            if slots == 1:
-                break
+        while slots > 1:
             slots = math.ceil(slots / FAN)
-            sums = sums.withColumn("slot", F.expr(f"slot % {slots}").cast("int"))
-        tables = written(sums.mapInArrow(_computed(order, sent), _TABLE_SQL))
+            sums = sums.groupBy("owner", "slot").applyInArrow(_added(order), _SUMS_SQL).withColumn("slot", F.expr(f"slot % {slots}").cast("int"))
+        tables = written(sums.groupBy("owner").applyInArrow(_added(order, sent), _TABLE_SQL))
         # A row for each owner, OWNERS at most.
         parts = lists.groupBy("owner").agg(F.sum("count").alias("asked")).join(tables.select("owner", F.col("count").alias("known")), "owner")
         parts = F.broadcast(parts.select("owner", F.ceil(F.col("asked") / F.greatest(F.lit(asked), 4 * F.col("known"))).cast("int").alias("parts")))
