@@ -1,4 +1,3 @@
-import re
 from collections import Counter
 from pathlib import Path
 
@@ -6,22 +5,19 @@ import corpus_pipeline
 from thema.llm.quality import train
 from thema.storage import scratch, shared_root
 
+from .plain import plain_words
 from .test_packing import brute
 from .test_quality import plain_quality
 
 
-def plain_words(text):
-    return re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
-
-
 def plain_grams(text, k=3):
-    w = plain_words(text)
+    w = plain_words(text.lower())
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
 
 
 def shares(text, items):
     """Whether a text has 13 words in a row with an item in common (or all of an item of 8 to 12)."""
-    w = plain_words(text)
+    w = plain_words(text.lower())
     return any(tuple(w[i : i + n]) in grams for n, grams in items.items() for i in range(len(w) - n + 1))
 
 
@@ -59,7 +55,7 @@ def test_stages_on_a_table(spark, sf_dir, tmp_path):
 
     items: dict[int, set] = {}
     for text in spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas().text:
-        w = plain_words(text)
+        w = plain_words(text.lower())
         n = min(13, len(w))
         if n >= 8:
             items.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))

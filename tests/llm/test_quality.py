@@ -1,7 +1,6 @@
 import itertools
 import math
 import os
-import re
 from collections import Counter
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from thema.llm.quality import keep_good, likelihood, line_features, marginals, score_quality, train
 from thema.llm.text import as_bytes
 
+from .plain import plain_words
+
 
 @pytest.mark.parametrize("seed", range(10))
 def test_forward_backward_against_all_labellings(seed):
@@ -119,7 +120,7 @@ def plain_features(text):
         size, trimmed = len(x), x.removesuffix(b"\n")
         chars, tokens = size - n["space"] - n["rest"], n["space"] + 1 - x.endswith(b"\n")
         letters = n["lower"] + n["upper"] + n["lead"] + 1e-9
-        words = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in x))
+        words = plain_words(bytes(c + 32 if 65 <= c <= 90 else c for c in x).decode())
         again = sum(a == b for a, b in zip(words, words[1:]))
         last = (trimmed or x)[-1:]
         out.append([

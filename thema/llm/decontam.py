@@ -1,6 +1,6 @@
 """Benchmark decontamination by winnowing.
 
-Texts are lower-cased word sequences. Of every WINDOW consecutive K-grams (K words each) the one with
+Texts are lower-cased word sequences; of scripts without blanks each character is a word. Of every WINDOW consecutive K-grams (K words each) the one with
 the least hash is a fingerprint, so two texts that share K + WINDOW - 1 words in a row share a
 fingerprint. Where a document's fingerprint is one of a benchmark item, the hit is extended word by
 word both ways to the whole shared span. Spans of at least K + WINDOW - 1 words are reported, all of

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop, scratch, written
 from .place import free, repeated
-from .text import as_bytes, chunks, lower, mix, range_hash, word_hashes
+from .text import WORD_PATTERN, as_bytes, chunks, lower, mix, range_hash, word_hashes
 
 
 def trees_for(recall: float, threshold: float, depth: int) -> int:
@@ -331,7 +331,7 @@ def _ident(text: str) -> Column:
 
 
 def _has_words(text: str) -> Column:
-    return F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    return F.coalesce(F.col(text).rlike(f"[A-Z]|{WORD_PATTERN}"), F.lit(False))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:

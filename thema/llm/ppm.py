@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..storage import filesystem, scratch, shared_dir, written
 from .place import block, placed
-from .text import CHUNK, HashTable, as_bytes, chunks
+from .text import CHUNK, HashTable, as_bytes, chunks, trim
 
 ORDER = 6
 #: Times that a byte must have been seen in a context.
@@ -133,6 +133,7 @@ def _lists(order: int, owners: int):
                 if every[a] != source:
                     if parts:
                         yield cut(source, parts)
+                        trim()
                     source, parts, held = int(every[a]), [], 0
                 for grams, _, _ in gram_pieces(*as_bytes(batch["text"].slice(a, b - a)), order):
                     parts.append(np.unique(grams, return_counts=True))
@@ -145,6 +146,8 @@ def _lists(order: int, owners: int):
                             parts, held = [], 0
         if parts:
             yield cut(source, parts)
+        del parts
+        trim()
 
     return run
 
@@ -163,6 +166,8 @@ def _shallow(order: int):
         if parts:
             grams, n = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+        del parts
+        trim()
 
     return run
 
@@ -220,6 +225,7 @@ def _added(order: int, shallow=None):
         if shallow is None:
             return pa.table({"owner": own["owner"], "slot": pa.array([key[1].as_py()], pa.int32()), "count": own["count"], "grams": own["grams"], "n": [pack(n.astype(np.uint64), 8)]})
         top = levels(grams, n, min(LOCAL, order), order, shallow.value)
+        trim()
         return pa.table(own | {"bits": [pack(np.rint(top.coded(np.arange(len(grams))) * STEPS).astype(np.uint64), 3)]})
 
     return run
@@ -239,6 +245,7 @@ def _answered(order: int):
                     for c, x in zip(columns, (r["source"], r["count"], r["grams"], pack(found, 3))):
                         c.append(x)
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        trim()
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "count", "grams", "bits"])
 
     return run
@@ -260,7 +267,10 @@ def _summed(path: str, folders: int, order: int):
                 grams.append(unpack(r["grams"], r["count"], size))
                 bits.append(unpack(r["bits"], r["count"], 3).astype(np.uint32))
         known, at = np.unique(np.concatenate(grams), return_index=True)
-        return HashTable(known), np.concatenate(bits)[at]
+        out = HashTable(known), np.concatenate(bits)[at]
+        del got, grams, bits, at
+        trim()
+        return out
 
     def length(source: pa.Array, text: pa.Array) -> pa.Array:
         every = source.to_numpy(zero_copy_only=False)

@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .ppm import score_language
 from .quality import score_quality
 from .sharding import shard_assignment, sharding_sql
+from .text import WORD_PATTERN
 from .url_filter import block_labels, score_urls
 from .url_filter import train as train_urls
 from .warc import pages_from_warc, read_warc, write_warc
@@ -71,14 +72,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-b AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(lower(text), '<word>') AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '<word>') AS w FROM benchmark),
 sizes AS (SELECT DISTINCT least(13, len(w)) AS n FROM b WHERE len(w) >= 8),
 dg AS (SELECT doc_id, row, n, p, array_to_string(w[p + 1:p + n], ' ') AS g FROM (SELECT *, unnest(range(len(w) - n + 1)) AS p FROM d, sizes)),
 bg AS (SELECT item_id, item, n, p AS q, array_to_string(w[p + 1:p + n], ' ') AS g FROM (SELECT *, unnest(range(len(w) - n + 1)) AS p FROM b JOIN sizes ON n = least(13, len(w)))),
 h AS (SELECT doc_id, row, item_id, item, n, p, q, p - row_number() OVER (PARTITION BY row, item, p - q ORDER BY p) AS island FROM dg JOIN bg USING (n, g))
 SELECT doc_id, item_id, min(p) AS doc_word, min(q) AS item_word, count(*) + n - 1 AS words FROM h GROUP BY doc_id, row, item_id, item, n, p - q, island
-"""
+""".replace("<word>", WORD_PATTERN)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

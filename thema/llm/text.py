@@ -29,6 +29,17 @@ class _Kept(dict):
 _powers: dict[int, np.ndarray] = _Kept()
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system: workers live on between tasks, and what they hold on to adds up."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n-1) modulo 2**64; tables are kept and grow on demand."""
     have = _powers.get(base)
@@ -109,14 +120,61 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Code points that are no part of words: Latin-1 signs, general punctuation, and that of East Asian scripts.
+SIGNS = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0x2000, 0x207F), (0x3000, 0x3004), (0x3008, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20)]
+#: Code points that are words by themselves, of scripts without blanks: Thai and Lao, kana, Han.
+ALONE = [(0xE00, 0xEFF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF)]
+
+
+def _pattern() -> str:
+    span = lambda ranges: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    inside, at = [], 0x80
+    for a, b in sorted(SIGNS + ALONE):
+        if at < a:
+            inside.append((at, a - 1))
+        at = b + 1
+    return f"[0-9a-z{span([*inside, (at, 0x10FFFF)])}]+|[{span(ALONE)}]"
+
+
+#: The words of lower-case text as a regular expression (of Java and RE2).
+WORD_PATTERN = _pattern()
+_SPECIAL = np.zeros(256, bool)
+_SPECIAL[[0xC2, 0xE0, 0xE2, 0xE3, *range(0xE4, 0xEA), 0xEF, 0xF0]] = True
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_bounds(), for words as WORD_PATTERN has them: SIGNS end words, and characters of ALONE are words each."""
+    at = np.flatnonzero(_SPECIAL[data])
+    if not len(at):
+        return word_bounds(data, offsets)
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    a, b, c, d = (padded[at + j] for j in range(4))
+    size = np.where(a < 0xE0, 2, np.where(a < 0xF0, 3, 4))
+    code = np.where(size == 2, (a & 31) << 6 | b & 63, np.where(size == 3, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
+    within = lambda ranges: np.any([(code >= x) & (code <= y) for x, y in ranges], axis=0)
+    signs, alone = within(SIGNS), within(ALONE)
+    if not (signs.any() or alone.any()):
+        return word_bounds(data, offsets)
+    plain, out = data.copy(), signs | alone
+    for j in range(4):
+        plain[at[out & (size > j)] + j] = 32
+    starts, ends, rows = word_bounds(plain, offsets)
+    if alone.any():
+        starts, ends = np.concatenate([starts, at[alone]]), np.concatenate([ends, at[alone] + size[alone]])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        rows = np.searchsorted(starts, offsets)
+    return starts, ends, rows
+
+
 def lower(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return pc.utf8_lower(column)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, in order, and each row's first word (len rows+1)."""
-    starts, ends, rows = word_bounds(data, offsets)
+    """Hashes of all words (see split_words), in order, and each row's first word (len rows+1)."""
+    starts, ends, rows = split_words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), rows
     return range_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASE), rows
