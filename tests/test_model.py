@@ -355,6 +355,10 @@ def test_saved_models_go_on(spark, corpus, tmp_path):
     model.save(spark, f"{tmp_path}/m")
     again = TopicModel.load(spark, f"{tmp_path}/m")
     assert again.regularizers == model.regularizers and again.scores == model.scores
+    model.export_score_tracker(spark, f"{tmp_path}/tracker")
+    again.history = []
+    again.import_score_tracker(spark, f"{tmp_path}/tracker")
+    assert again.score_tracker == model.score_tracker
     for m in (model, again):
         m.fit_offline(ndw, 1)
     assert np.allclose(model.m.pwt, again.m.pwt) and again.history[-1]["p"] == model.history[-1]["p"]

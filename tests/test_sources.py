@@ -165,3 +165,18 @@ def test_cooc_triples(spark):
 def test_header_behind_many_comments(spark, tmp_path):
     (tmp_path / "m.mm").write_text("%%MatrixMarket\n" + "% c\n" * 2500 + "2 3 2\n1 1 5\n2 3 1\n")
     assert sorted((r.item_id, r.token, r.weight) for r in uci.read_docword(spark, f"{tmp_path}/m.mm").collect()) == [(1, "0", 5.0), (2, "2", 1.0)]
+
+
+@pytest.mark.parametrize("window", [0, 2, 3])
+def test_seen_pairs_against_loops(spark, window):
+    from thema.operators.cooc import seen_pairs
+
+    docs = [(0, ["b", "a", "c", "a"], [1.0, 2.0, 3.0, 4.0]), (1, ["a", "b"], [5.0, 0.5]), (2, [], []), (3, ["d"], [1.0])]
+    want: dict = {}
+    for _, t, w in docs:
+        for i in range(len(t)):
+            for j in range(i + 1, min(len(t), i + (window or len(t)))):
+                key = (t[j], t[i]) if (t[j], t[i]) in want else (t[i], t[j])
+                want[key] = want.get(key, 0.0) + min(w[i], w[j])
+    got = seen_pairs(spark.createDataFrame(docs, "item_id long, tokens array<string>, weights array<double>"), window)
+    assert {(r.u, r.v): r.value for r in got.collect()} == want

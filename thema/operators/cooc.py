@@ -51,3 +51,15 @@ def bag_pairs(bow: DataFrame) -> DataFrame:
     """(u, v, value) over whole items: the sum of the smaller of both weights, u < v."""
     a, b = bow.select("item_id", F.col("token").alias("u"), F.col("weight").alias("a")), bow.select("item_id", F.col("token").alias("v"), F.col("weight").alias("b"))
     return a.join(b, "item_id").where("u < v").groupBy("u", "v").agg(F.sum(F.least("a", "b")).alias("value"))
+
+
+def seen_pairs(docs: DataFrame, window: int = 0) -> DataFrame:
+    """(u, v, value) from (item_id, tokens, weights): for each token and every one of the window - 1 after it (all of the item for 0), the sum of the
+    smaller of both weights. A pair stands in the direction in which it was seen first, by item and position."""
+    placed = docs.select("item_id", "tokens", "weights", F.posexplode("tokens").alias("i", "u")).withColumn("a", F.element_at("weights", F.col("i") + 1))
+    count = F.size("tokens") if window <= 0 else F.lit(max(0, window - 1))
+    ahead = F.arrays_zip(F.slice("tokens", F.col("i") + 2, count).alias("v"), F.slice("weights", F.col("i") + 2, count).alias("b"))
+    pairs = placed.select("item_id", "i", "u", "a", F.posexplode(ahead).alias("j", "x")).select("item_id", "i", "j", "u", F.col("x.v").alias("v"), F.least("a", "x.b").alias("w"))
+    key = [F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")]
+    out = pairs.groupBy(*key).agg(F.sum("w").alias("value"), F.min_by("u", F.struct("item_id", "i", "j")).alias("u"))
+    return out.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v"), "value")

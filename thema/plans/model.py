@@ -33,7 +33,7 @@ from ..schema import DEFAULT_TRANSACTION, DOCUMENTS_CLASS, EPS, TINY
 from ..storage import drop, drop_path, exists, shared_dir, written
 
 #: Bytes that Phi may take in the driver and in each task.
-MODEL_BYTES = 256 << 20
+MODEL_BYTES = 64 << 20
 #: Rows of n_wt in a block.
 BLOCK_ROWS = 4096
 #: Partial sums of a block that one group adds up.
@@ -498,6 +498,18 @@ class TopicModel:
         """The kept Theta as a matrix (class_id, token, topic, value) with titles as tokens of DOCUMENTS_CLASS."""
         return self.get_theta().select(F.lit(DOCUMENTS_CLASS).alias("class_id"), F.col("title").alias("token"), "topic", "value")
 
+    def export_score_tracker(self, spark: SparkSession, path: str) -> None:
+        """(pass, score, value) of all passes as Parquet, values as JSON; refuses to overwrite."""
+        rows = [(h["pass"], k, json.dumps(v, default=str)) for h in self.history for k, v in h.items() if k != "pass"]
+        spark.createDataFrame(rows, "pass int, score string, value string").coalesce(1).write.parquet(path)
+
+    def import_score_tracker(self, spark: SparkSession, path: str) -> None:
+        """The history that export_score_tracker() wrote."""
+        by: dict[int, dict] = {}
+        for r in spark.read.parquet(path).collect():
+            by.setdefault(r["pass"], {"pass": r["pass"]})[r["score"]] = json.loads(r["value"])
+        self.history = [by[k] for k in sorted(by)]
+
     def remove_theta(self) -> None:
         self._theta = None
 
