@@ -111,3 +111,26 @@ def test_hot_groups_leave_by_their_pivot(spark):
 def test_ids_of_other_types(spark):
     df = spark.createDataFrame([("b", BASE), ("a", BASE + " end"), ("c", "other text")], "doc_id string, text string")
     assert sorted((r.doc_id, r.group_id, r.kept) for r in near_duplicates(df).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
+def test_dropped_rows_do_not_depend_on_the_splits(spark, tmp_path):
+    """Rows are named by their places, whatever the splits; with many sources, in several folders and files."""
+    from thema.llm.place import placed, without
+
+    spark.range(5000).selectExpr("id", "id % 3 AS file", "-id AS row").repartition(4).write.parquet(f"{tmp_path}/t")
+    df, file, row = placed(spark.read.parquet(f"{tmp_path}/t"))
+    bad = df.where("id % 7 = 0").select(df[file].alias("file"), df[row].alias("row"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = without(df, file, row, bad, 100, 50)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        assert sorted(r.id for r in got.collect()) == [i for i in range(5000) if i % 7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert without(df, file, row, bad.limit(0)).count() == 5000
+
+
+def test_rows_that_repeat_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, BASE, "f", 1), (1, BASE, "g", 2), (None, BASE, "h", 3), (None, "?", "i", 4)], "doc_id long, text string, file string, row int")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns and len(rows := got.collect()) == 2 and {r.doc_id for r in rows} == {1, None}

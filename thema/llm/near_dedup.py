@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, scratch, written
-from .place import free, repeated
+from .place import placed, repeated, without
 from .text import WORD_PATTERN, as_bytes, chunks, lower, mix, range_hash, word_hashes
 
 
@@ -334,21 +334,15 @@ def _has_words(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(f"[A-Z]|{WORD_PATTERN}"), F.lit(False))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:
-    """(ident, doc_id, m, comp, best, n) for every different pair of text and doc_id of docs with words: how many rows hold it, its group, the
-    group's first pair and number of rows."""
+def _components(docs: DataFrame, text: str, k: int = K, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, memory: int = MEMORY, levels: int = LEVELS) -> DataFrame:
+    """(ident, comp) of all different texts that have words, written."""
     roots = trees * max(1, round(1 / threshold))
     if roots > MINHASHES:
         raise ValueError("too many trees")
     with scratch(docs.sparkSession) as s:
         table = signed(docs, text, k, roots)
         ends = connected(near_pairs(table, threshold, leaf, memory, levels)).withColumnsRenamed({"u": "key", "v": "root"})
-        comps = s.keep(written(table.select("ident", "key").join(ends, "key", "left").select("ident", F.coalesce("root", "key").alias("comp"))))
-    rows = docs.where(_has_words(text)).groupBy(_ident(text).alias("ident"), F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("m"))
-    rows = rows.join(comps, "ident")
-    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ident")
-    best = rows.groupBy("comp").agg(F.min(pair).alias("best"), F.sum("m").alias("n"))
-    return rows.join(best, "comp")
+        return s.keep(written(table.select("ident", "key").join(ends, "key", "left").select("ident", F.coalesce("root", "key").alias("comp"))))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -360,7 +354,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     is larger than any other; of rows that repeat a doc_id and a text one is kept. doc_id may be of any type. An empty table
     gives an empty result; other columns are ignored. options: k, threshold, trees (see trees_for), leaf, memory, levels.
     """
-    rows = repeated(_grouped(docs, doc_id, text, **options), "m", ["ident", "doc_id"])
+    comps = _components(docs, text, **options)
+    rows = docs.where(_has_words(text)).groupBy(_ident(text).alias("ident"), F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("m")).join(comps, "ident")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ident")).alias("best"))
+    rows = repeated(rows.join(best, "comp"), "m", ["ident", "doc_id"])
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("ident") == F.col("best.ident")) & (F.col("copy") == 0)
     out = rows.select("doc_id", F.col("best.doc_id").alias("group_id"), first.alias("kept"))
     alone = docs.where(~_has_words(text)).select(F.col(doc_id).alias("doc_id"))
@@ -368,14 +365,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates() keeps."""
-    ident, kept, many = (free(docs, x) for x in ("ident", "kept", "many"))
-    rows = _grouped(docs, doc_id, text, **options).where("n > 1")
-    several = written(rows.groupBy(F.col("ident").alias(ident)).agg(F.max(F.col("ident") == F.col("best.ident")).alias(kept), (F.sum("m") > 1).alias(many)))
-    own = docs.where(_has_words(text)).withColumn(ident, _ident(text)).join(several, ident, "left")
-    out = own.where(F.coalesce(F.col(kept) & ~F.col(many), F.lit(True))).select(docs.columns)
-    if not several.where(F.col(kept) & F.col(many)).isEmpty():  # of rows that repeat a text the first stays
-        row = F.struct(*[F.col(c) for c in docs.columns])
-        copies = own.where(F.col(kept) & F.col(many)).groupBy(ident).agg(F.min_by(row, F.struct(F.col(doc_id).isNull(), F.col(doc_id))).alias(kept))
-        out = out.unionAll(copies.select(*[F.col(kept).getField(c).alias(c) for c in docs.columns]))
-    return out.unionAll(docs.where(~_has_words(text)))
+    """The rows of docs, all columns, that near_duplicates() keeps. Texts are not shuffled: what goes is named by its place."""
+    own, file, row = placed(docs)
+    comps = _components(own, text, **options)
+    keys = own.where(_has_words(text)).select(_ident(text).alias("ident"), F.col(doc_id).alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"))
+    rows = keys.join(comps, "ident")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ident", "file", "row")).alias("best")
+    best = rows.groupBy("comp").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "best")
+    bad = rows.join(best, "comp").where((F.col("file") != F.col("best.file")) | (F.col("row") != F.col("best.row")))
+    return without(own, file, row, bad.select("file", "row")).select(docs.columns)
