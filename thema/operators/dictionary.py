@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def gather(ndw: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """(class_id, token, value, tf, df): tf the sum of weights, df the number of items, value the share of tf
@@ -29,7 +31,9 @@ def gather_lists(docs: DataFrame, class_id: str) -> DataFrame:
 
 
 def _with_share(d: DataFrame) -> DataFrame:
-    """d with tf's share of its class in value; the classes' sums are partial aggregates, joined back."""
+    """d with tf's share of its class in value; the classes' sums are partial aggregates, joined back. d is written, so that the corpus is
+    read once for both."""
+    d = written(d)
     sums = d.groupBy("class_id").agg(F.sum("tf").alias("s"))
     return d.join(sums, "class_id").withColumn("value", F.col("tf") / F.col("s")).drop("s")
 
