@@ -41,7 +41,7 @@ def test_pairs_of_documents(spark, tmp_path):
 def test_coherence_counts_documents(spark, tmp_path):
     d = _tables(spark, tmp_path)
     n, pairs = Q.start_counters(Q._doc_dict(spark, d)).collect(), _pairs()
-    for topic, got in ((r["topic"], r["coherence"]) for r in Q.queries()["score_coherence_documents"](spark, d).collect()):
+    for topic, got in ((r["topic"], r["coherence"]) for r in Q.queries()["score_coherence"](spark, d).collect()):
         top = [t for _, t in sorted(((r["value"], r["token"]) for r in n if r["topic"] == topic and r["value"] > 0), reverse=True)[:10]]
         want = sum(pairs[a, b] for i, a in enumerate(top) for b in top[i + 1 :])
         assert got == round(2.0 / (len(top) * (len(top) - 1)) * want, 6)
