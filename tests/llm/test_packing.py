@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -6,7 +7,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from thema.llm.packing import _words, pack, pack_documents
+from thema.llm.packing import _words, _words_before, pack, pack_documents
+from thema.llm.text import as_bytes
 
 
 def brute(sizes, capacity):
@@ -101,6 +103,24 @@ def test_blanks_are_counted_in_linear_time():
     assert time.perf_counter() - began < 1
 
 
+def test_words_of_a_large_batch_take_little_memory():
+    for texts in (["some words of a text\n" * 150] * 8_000, ["some words of a text\n" * 1_200_000]):  # 25 MB each
+        column = pa.array(texts)
+        tracemalloc.start()
+        got = _words(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.to_pylist() == [5 * x.count("\n") for x in texts]
+        assert peak < 16e6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(" \t\nab\u00a0\u4e2d", max_size=12), max_size=12), st.integers(1, 9))
+def test_words_across_pieces(texts, piece):
+    got = np.diff(_words_before(*as_bytes(pa.array(texts, pa.string())), piece))
+    assert got.tolist() == [len((x or "").encode().split()) for x in texts]
+
+
 def test_hot_ids_and_ids_of_other_types(spark):
     docs = spark.range(400).selectExpr("if(id % 3 = 0, null, concat('d', id)) AS doc_id", "repeat('w ', 3) AS text")
     got = pack_documents(docs, capacity=7, ranked=10).toPandas()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .place import repeated
 from .sharding import BUCKETS, bucket_of
-from .text import as_bytes
+from .text import CHUNK, as_bytes
 
 #: Words in a bin.
 CAPACITY = 2048
@@ -149,14 +149,29 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _words(text: pa.Array) -> pa.Array:
-    data, offsets = as_bytes(text)
-    space = _SPACE[data]
-    begins = ~space
-    begins[1:] &= space[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    begins[first] = ~space[first]
-    total = np.append(0, np.cumsum(begins))
-    return pa.array(total[offsets[1:]] - total[offsets[:-1]])
+    return pa.array(np.diff(_words_before(*as_bytes(text))))
+
+
+def _words_before(data: np.ndarray, offsets: np.ndarray, piece: int = CHUNK) -> np.ndarray:
+    """The number of words that begin before each offset. Counted in pieces of so many bytes, whatever the rows' lengths: what it takes
+    beside the texts doesn't grow with them."""
+    out = np.zeros(len(offsets), np.int64)
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    total = 0
+    for at in range(0, len(data), piece):
+        space = _SPACE[data[at : at + piece]]
+        end = at + len(space)
+        begins = ~space
+        begins[1:] &= space[:-1]
+        if at:
+            begins[0] &= _SPACE[data[at - 1]]
+        own = heads[slice(*np.searchsorted(heads, [at, end]))] - at
+        begins[own] = ~space[own]
+        sums = total + np.cumsum(begins)
+        ends = slice(*np.searchsorted(offsets, [at, end], side="right"))
+        out[ends] = sums[offsets[ends] - at - 1]
+        total = int(sums[-1])
+    return out
 
 
 def words(text: str = "text") -> Column:
