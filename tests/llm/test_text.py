@@ -38,3 +38,12 @@ def test_scripts_without_blanks(spark):
     assert sorted((r.doc_id, r.words) for r in got) == [(1, 40), (2, 60), (3, 60)]
     groups = {r.doc_id: r.group_id for r in near_duplicates(docs).collect()}
     assert groups == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_trimmed_gives_memory_back_after_the_call(monkeypatch):
+    from thema.llm import text
+
+    done = []
+    monkeypatch.setattr(text, "trim", lambda: done.append("trim"))
+    double = text.trimmed(lambda x, y: done.append("call") or x + y)
+    assert double(2, 3) == 5 and done == ["call", "trim"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .place import free as _free
-from .text import HashTable, as_bytes, chunks, kgrams, lower, word_hashes
+from .text import HashTable, as_bytes, chunks, kgrams, lower, trimmed, word_hashes
 
 K = 8
 WINDOW = 6
@@ -164,4 +164,4 @@ def _leaks(items: Benchmark):
             hit[[a + x[0] for x in got]] = True
         return pa.array(hit)
 
-    return F.arrow_udf(leaks, "boolean")
+    return F.arrow_udf(trimmed(leaks), "boolean")

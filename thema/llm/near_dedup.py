@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop, scratch, written
 from .place import placed, repeated, without
-from .text import WORD_PATTERN, as_bytes, chunks, lower, mix, range_hash, word_hashes
+from .text import WORD_PATTERN, as_bytes, chunks, lower, mix, range_hash, trim, word_hashes
 
 
 def trees_for(recall: float, threshold: float, depth: int) -> int:
@@ -94,23 +94,27 @@ def child(nodes: np.ndarray, position: np.ndarray, token: np.ndarray) -> np.ndar
 def _signatures(k: int, roots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(lower(batch["text"]))
-            keys = batch["ident"]
-            for a, b in chunks(offsets):
-                words, rows = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                grams, first = shingles(words, rows, k)
-                own = np.flatnonzero(np.diff(first) > 0)
-                if not len(own):
-                    continue
-                m = minhash(grams, first)
-                at = _ROOT[:roots]
-                nodes = child(np.zeros((len(own), roots)), np.broadcast_to(at, (len(own), roots)), m[:, at]).view(np.int64)
-                short = ((m * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([
-                    keys.slice(a, b - a).take(pa.array(own)),
-                    pa.array([r.tobytes() for r in short], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, len(own) * roots + 1, roots, dtype=np.int32), nodes.ravel()),
-                ], names=["ident", "sig", "nodes"])
+            yield from of_batch(batch)
+            trim()
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = as_bytes(lower(batch["text"]))
+        keys = batch["ident"]
+        for a, b in chunks(offsets):
+            words, rows = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            grams, first = shingles(words, rows, k)
+            own = np.flatnonzero(np.diff(first) > 0)
+            if not len(own):
+                continue
+            m = minhash(grams, first)
+            at = _ROOT[:roots]
+            nodes = child(np.zeros((len(own), roots)), np.broadcast_to(at, (len(own), roots)), m[:, at]).view(np.int64)
+            short = ((m * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([
+                keys.slice(a, b - a).take(pa.array(own)),
+                pa.array([r.tobytes() for r in short], pa.binary()),
+                pa.ListArray.from_arrays(np.arange(0, len(own) * roots + 1, roots, dtype=np.int32), nodes.ravel()),
+            ], names=["ident", "sig", "nodes"])
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .place import repeated
 from .sharding import BUCKETS, bucket_of
-from .text import CHUNK, as_bytes
+from .text import CHUNK, as_bytes, trimmed
 
 #: Words in a bin.
 CAPACITY = 2048
@@ -176,7 +176,7 @@ def _words_before(data: np.ndarray, offsets: np.ndarray, piece: int = CHUNK) ->
 
 def words(text: str = "text") -> Column:
     """The number of words: runs of anything but white space (blanks, tabs, line ends); 0 for null."""
-    return F.arrow_udf(_words, "long")(text)
+    return F.arrow_udf(trimmed(_words), "long")(text)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, ranked: int = RANKED) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .place import free as _free
-from .text import as_bytes, chunks, range_hash, word_hashes
+from .text import as_bytes, chunks, range_hash, trimmed, word_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most: those with the least hash of doc_id.
 SAMPLE = 2000
@@ -277,7 +277,7 @@ def quality_udf(model: LineCrf):
         parts = [model.qualities(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return F.arrow_udf(quality, "double")
+    return F.arrow_udf(trimmed(quality), "double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

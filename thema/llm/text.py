@@ -7,7 +7,8 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def trim() -> None:
         pass
 
 
+def trimmed(f: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """f, a function of Arrow columns, with trim() after each call, when what it took is free."""
+
+    @wraps(f)
+    def run(*columns: pa.Array) -> pa.Array:
+        out = f(*columns)
+        trim()
+        return out
+
+    return run
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n-1) modulo 2**64; tables are kept and grow on demand."""
     have = _powers.get(base)
