@@ -14,7 +14,7 @@ def gather(ndw: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     denominator still holds all tokens of the class."""
     per_item = ndw.groupBy("class_id", "token", "item_id").agg(F.sum("weight").alias("w"))
     d = per_item.groupBy("class_id", "token").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).cast("double").alias("df"))
-    d = _with_share(d)
+    d = with_share(d)
     if vocab is not None:
         d = vocab.select("class_id", "token").join(d, ["class_id", "token"], "left").fillna(0.0, ["value", "tf", "df"])
     return d.select("class_id", "token", "value", "tf", "df")
@@ -27,10 +27,10 @@ def gather_lists(docs: DataFrame, class_id: str) -> DataFrame:
     every = docs.select(F.explode("tokens").alias("token"), one.alias("tf"), none.alias("df"))
     once = docs.select(F.explode(F.array_distinct("tokens")).alias("token"), none.alias("tf"), one.alias("df"))
     d = every.unionAll(once).groupBy(F.lit(class_id).alias("class_id"), "token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    return _with_share(d).select("class_id", "token", "value", "tf", "df")
+    return with_share(d).select("class_id", "token", "value", "tf", "df")
 
 
-def _with_share(d: DataFrame) -> DataFrame:
+def with_share(d: DataFrame) -> DataFrame:
     """d with tf's share of its class in value; the classes' sums are partial aggregates, joined back. d is written, so that the corpus is
     read once for both."""
     d = written(d)
