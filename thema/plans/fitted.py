@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import words
-from ..operators import cooc as C
 from ..operators import dictionary as D
 from ..operators import matrix as M
 from ..operators import windows as W
 from ..operators.phi_regularizers import DecorrelatorPhi, SmoothSparsePhi
 from ..operators.theta_regularizers import SmoothSparseTheta, TopicSegmentationPtdw
-from ..schema import DEFAULT_CLASS, DEFAULT_TRANSACTION
+from ..schema import DEFAULT_CLASS
 from ..storage import spread, written
 from .corpus import TOPICS, bow, document_words, start_rows, table, text_bags
 from .hierarchy import Hierarchy
@@ -110,10 +109,15 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")) - 1
     lines = written(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), line.alias("line"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").cast("string").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")))
     x = F.array(*[F.struct(F.lit(f"@{c}").alias("c"), F.col(c).alias("t")) for c in ("part", "flag", "status")])
-    own = lines.select("item_id", F.col("line").alias("tx_id"), F.lit("line").alias("tt_name"), F.posexplode(x).alias("p", "x"))
-    ndw = own.select("item_id", (F.col("tx_id") * 3 + F.col("p")).alias("pos"), "tx_id", "tt_name", F.col("x.c").alias("class_id"), F.col("x.t").alias("token"), F.lit(1.0).alias("weight"))
-    model = TopicModel(4, D.gather(ndw), type_weights={"line": 1.0, DEFAULT_TRANSACTION: 1.0}, document_passes=5).fit_offline(ndw, 3)
-    p = model.transform(ndw, "ptx").select("item_id", F.col("pos").alias("line"), F.round("p", 6).alias("p"))
+    orders = lines.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("line", x.alias("x")))).alias("lines"))
+    one = lambda y, c: F.struct((y["line"] * 3 + c).cast("int").alias("pos"), y["x"][c]["c"].alias("class_id"), y["x"][c]["t"].alias("token"), F.lit(1.0).alias("w"), y["line"].cast("int").alias("tx"), F.lit(1.0).alias("tx_weight"))
+    own = orders.select("item_id", F.flatten(F.transform("lines", lambda y: F.array(*[one(y, c) for c in range(3)]))).alias("x"))
+    docs = written(own.select("item_id", F.col("item_id").cast("string").alias("title"), F.lit(1.0).alias("scale"), "x", F.lit(True).alias("typed")))
+    names = F.transform("x", lambda y: F.struct(y["class_id"].alias("class_id"), y["token"].alias("token")))
+    count = lambda a, n: docs.select(F.explode(a).alias("y")).groupBy("y.class_id", "y.token").agg(F.count(F.lit(1)).cast("double").alias(n))
+    dictionary = D.with_share(count(names, "tf").join(count(F.array_distinct(names), "df"), ["class_id", "token"]))
+    model = PartitionedModel(4, dictionary, document_passes=5).fit_offline(docs, 3)
+    p = model.transform(docs, "ptx").select("item_id", F.col("pos").alias("line"), F.round("p", 6).alias("p"))
     return lines.select("item_id", "line", "line_number").join(p, ["item_id", "line"])
 
 
@@ -210,10 +214,12 @@ def cooc_by_modality(spark: SparkSession, d: str) -> DataFrame:
 
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", "role", F.posexplode(words("text")).alias("p", "token"))
     ndw = turns.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("turn", "p")).alias("pos"), F.col("role").alias("class_id"), "token")
-    vocabulary = bow(table(spark, d, "documents")).select("token").distinct().crossJoin(ndw.select("class_id").distinct())
+    vocabulary = W.token_sums(W.items(document_words(spark, d))).select("token").crossJoin(ndw.select("class_id").distinct())
     docs = cooc_sequences(ndw, vocabulary)
-    pairs = C.window_pairs(docs.withColumn("tokens", F.transform("tokens", lambda t: F.struct(F.col("class_id").alias("c"), t.alias("t")))), 5).where("u.t IS NOT NULL AND v.t IS NOT NULL")
-    return C.cooccurrence(pairs).select(F.col("u.c").alias("class_id"), F.col("u.t").alias("u"), F.col("v.t").alias("v"), "tf", "df")
+    sign = "\u0000"  # which no word has
+    tagged = docs.select("item_id", F.transform("tokens", lambda t: F.concat("class_id", F.lit(sign), t)).alias("tokens"))
+    part = lambda c, i: F.substring_index(c, sign, i)
+    return W.cooccurrence(tagged, 5).select(part("u", 1).alias("class_id"), part("u", -1).alias("u"), part("v", -1).alias("v"), "tf", "df")
 
 
 def _sql() -> dict[str, str]:
