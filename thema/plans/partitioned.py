@@ -34,6 +34,8 @@ from .model import BATCH_DOCS, Matrices, Pass, _run
 
 #: Bytes of a block's documents, as they are read, where there are more than a block for each core.
 BLOCK_BYTES = 64 << 20
+#: Words that are encoded at once, about.
+PIECE = 1 << 19
 #: Rows of a chunk of a matrix.
 CHUNK = 1 << 16
 #: Regularizers of Phi whose term of a token depends on that token's row alone.
@@ -119,6 +121,17 @@ def bags(docs: DataFrame, scale: float = 1.0) -> DataFrame:
     return docs.withColumn("scale", F.lit(scale))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of about PIECE words."""
+    for b in batches:
+        ends = np.asarray(b["lists" if whole else "x"].offsets)
+        upto, a = np.asarray(b["lists"].values.offsets)[ends] if whole else ends, 0
+        while a < b.num_rows:
+            z = min(b.num_rows, max(a + 1, int(np.searchsorted(upto, upto[a] + PIECE, side="right")) - 1))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def _counted(b: pa.RecordBatch, class_weights: dict[str, float] | None):
     """Of a batch of bags: each item's words once, with their counts: (item, class, word, weight, transactions, names of classes, words)."""
     lists = b["lists"]
@@ -157,7 +170,7 @@ def _encoder(class_weights: dict[str, float] | None, keys: list[int], whole: boo
     """Documents of a block in its own numbers, and its words at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = keys[TaskContext.get().partitionId()], {}
+        block, known, count = keys[TaskContext.get().partitionId()], {}, 0
         names = [f.split()[0] for f in _DOCS.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.bool_(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
@@ -165,23 +178,27 @@ def _encoder(class_weights: dict[str, float] | None, keys: list[int], whole: boo
             columns["block"] = pa.array(np.full(n, block, np.int32))
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, whole):
             item, kind, word, weight, tx, classes, words = _counted(b, class_weights) if whole else _listed(b)
             both, at = np.unique(kind * max(1, len(words)) + word, return_inverse=True)
-            texts = words.take(pa.array(both % max(1, len(words)))).to_pylist()
-            local = np.array([known.setdefault((classes[c], t), len(known)) for c, t in zip((both // max(1, len(words))).tolist(), texts)], np.int32)
+            texts, local = words.take(pa.array(both % max(1, len(words)))).to_pylist(), np.empty(len(both), np.int32)
+            for i, (c, t) in enumerate(zip((both // max(1, len(words))).tolist(), texts)):
+                own = known.setdefault(classes[c], {})
+                if (place := own.get(t)) is None:
+                    own[t] = place = count
+                    count += 1
+                local[i] = place
             idx = local[at.ravel()] if len(local) else np.zeros(0, np.int32)
             ends = pa.array(np.searchsorted(item, np.arange(b.num_rows + 1)).astype(np.int32))
             lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
             ids = b["item_id"]
             more = {} if tx is None else {"tx": lists(tx[0].astype(np.int32)), "tx_weight": lists(tx[1].astype(float))}
             yield batch(b.num_rows, item_id=ids.cast(pa.int64()), title=ids.cast(pa.string()) if whole else b["title"], idx=lists(idx), weight=lists(weight), typed=pa.array(np.zeros(b.num_rows, bool)) if whole else b["typed"], scale=b["scale"], **more)
-        rows = list(known)
-        for i in range(0, len(rows), CHUNK):
-            own = rows[i : i + CHUNK]
-            yield batch(len(own), local=pa.array(np.arange(i, i + len(own), dtype=np.int32)), class_id=pa.array([c for c, _ in own], pa.string()), token=pa.array([t for _, t in own], pa.string()))
+        for c, own in known.items():
+            texts, local = list(own), np.fromiter(own.values(), np.int32, len(own))
+            for i in range(0, len(texts), CHUNK):
+                part = pa.array(texts[i : i + CHUNK], pa.string())
+                yield batch(len(part), local=pa.array(local[i : i + CHUNK]), class_id=pa.array([c] * len(part), pa.string()), token=part)
 
     return run
 
